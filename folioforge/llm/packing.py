@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_sized, small, stored
-from .pieces import encoder
+from .pieces import encoder, sliced
 
 LAST_ROUND = (1 << 63) - 1
 
@@ -32,30 +32,28 @@ def encoded_queues(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches):
         encode, part, at, now = encoder(tokenizer), TaskContext.get().partitionId(), 0, object()
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                ids, starts = [], []
-                for source, text in zip(some.column("source").to_pylist(), some.column("text").to_pylist()):
-                    if source != now:
-                        now, at = source, 0
-                    ids.append(encode(text) + end)
-                    starts.append(at)
-                    at += len(ids[-1]) // 4
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source"), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([narrowed(x) for x in ids], pa.binary())], names=["doc_id", "source", "part", "local_start", "n", "ids"])
+        for some in sliced(batches):
+            ids, offsets = encode(some.column("text"), end)
+            raw, starts = narrowed(ids), []
+            for source, n in zip(some.column("source").to_pylist(), np.diff(offsets).tolist()):
+                if source != now:
+                    now, at = source, 0
+                starts.append(at)
+                at += n
+            rows = [raw[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("source"), pa.array(np.full(len(rows), part, dtype=np.int32)), pa.array(starts, pa.int64()), pa.array(np.diff(offsets)), pa.array(np.full(len(rows), raw.itemsize, dtype=np.int8)), pa.array(rows, pa.binary())], names=["doc_id", "source", "part", "local_start", "n", "width", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(ordered.mapInArrow(run, f"doc_id {kind}, source string, part int, local_start long, n long, ids binary"), "queues")
+    return stored(ordered.mapInArrow(run, f"doc_id {kind}, source string, part int, local_start long, n long, width byte, ids binary"), "queues")
 
 
-def narrowed(ids: bytes) -> bytes:
-    """16-bit ids where they fit, behind a byte that says so."""
-    wide = np.frombuffer(ids, dtype="<u4")
-    return b"\2" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\4" + ids
+def narrowed(ids: np.ndarray) -> np.ndarray:
+    """16-bit ids where all fit."""
+    return ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
 
 
-def widened(ids: bytes) -> bytes:
-    return np.frombuffer(ids, dtype="<u2", offset=1).astype("<u4").tobytes() if ids[0] == 2 else ids[1:]
+def widened(ids: bytes, width: int) -> bytes:
+    return np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes() if width == 2 else ids
 
 
 def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, slot: int = 128, end_id: int = 0, weights: dict[str, float] | None = None) -> DataFrame:
@@ -82,7 +80,7 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, slot: int = 128,
         for source, w in weights.items():
             share = F.when(F.col("source") == source, F.lit(w / top)).otherwise(share)
     meta = small(stored(marked.select(F.col("source").alias("m_source"), F.col("part").alias("m_part"), "before", F.floor(F.col("total") / F.lit(slot)).cast("long").alias("full"), share.cast("double").alias("share")), "queue-sums"))
-    placed = queues.join(meta, (F.col("part") == F.col("m_part")) & F.col("source").eqNullSafe(F.col("m_source"))).select("doc_id", "source", (F.col("before") + F.col("local_start")).alias("at"), "n", "ids", "full", "share")
+    placed = queues.join(meta, (F.col("part") == F.col("m_part")) & F.col("source").eqNullSafe(F.col("m_source"))).select("doc_id", "source", (F.col("before") + F.col("local_start")).alias("at"), "n", "width", "ids", "full", "share")
     per_round = seq_len // slot
 
     def cut(batches):
@@ -90,9 +88,9 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, slot: int = 128,
             for lo in range(0, batch.num_rows, 1000):
                 some = batch.slice(lo, 1000)
                 row, at, start, size, crc, when, tail = [], [], [], [], [], [], []
-                cols = [some.column(c).to_pylist() for c in ("at", "n", "ids", "full", "share")]
-                for k, (a, n, ids, full, share) in enumerate(zip(*cols)):
-                    raw = memoryview(widened(ids))
+                cols = [some.column(c).to_pylist() for c in ("at", "n", "width", "ids", "full", "share")]
+                for k, (a, n, width, ids, full, share) in enumerate(zip(*cols)):
+                    raw = memoryview(widened(ids, width))
                     edges = [a, *range((a // slot + 1) * slot, a + n, slot), a + n]
                     for x, y in zip(edges, edges[1:]):
                         r, own = x // slot, raw[4 * (x - a) : 4 * (y - a)]

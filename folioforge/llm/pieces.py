@@ -1,8 +1,8 @@
 """Token ids of whole texts, encoding each distinct piece of text once per worker.
 
-A tokenizer whose pre-tokenizer cuts the text by a pattern encodes every piece by itself, so the ids of a text are the
+The text is split at blanks into chunks, and a chunk's ids are made once. A tokenizer whose pre-tokenizer cuts the text by a pattern encodes every piece by itself, so the ids of a text are the
 ids of its pieces in order. The pieces' ids come from the tokenizers library and are kept in a bounded table. The cut is
-made here only where Python's classes and the library's are the same, up to U+022F; every other text, and every text
+made here only where Python's classes and the library's are the same, up to U+01FF; every other text, and every text
 that holds a special string, goes to the library whole.
 """
 
@@ -11,11 +11,14 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-LAST = 0x22F
+LAST = 0x1FF
 LETTERS = "a-zA-Z" + "".join(chr(c) for c in range(0xA0, LAST + 1) if unicodedata.category(chr(c))[0] == "L")
 NUMBERS = "0-9" + "".join(chr(c) for c in range(0xA0, LAST + 1) if unicodedata.category(chr(c))[0] == "N")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -26,55 +29,145 @@ WORD_SPLIT = rf"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+
 UNUSUAL = re.compile(rf"[^\t\n\r -~\xa0-{chr(LAST)}]|İ")
 
 
-class PieceIds(dict):
-    """Piece -> its ids as little-endian bytes; long pieces aren't kept, and a full table is emptied."""
+#: White space before a blank: then a run of white space isn't cut at its blanks.
+RUNS = ("  ", "\n ", "\t ", "\r ", "\xa0 ")
 
-    def __init__(self, encode, dtype: str, most: int):
+
+class Kept(dict):
+    """Chunk -> its values as bytes. A full table takes no more chunks, and starts anew after as many misses again four times."""
+
+    def __init__(self, make, most: int):
         super().__init__()
-        self.encode, self.dtype, self.most = encode, dtype, most
+        self.make, self.most, self.missed = make, most, 0
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), dtype=self.dtype).tobytes()
-        if len(piece) <= 48:
-            if len(self) >= self.most:
+    def __missing__(self, chunk: str) -> bytes:
+        made = self.make(chunk)
+        if len(self) < self.most:
+            if len(chunk) <= 48:
+                self[chunk] = made
+        else:
+            self.missed += 1
+            if self.missed > 4 * self.most:
                 self.clear()
-            self[piece] = ids
-        return ids
+                self.missed = 0
+        return made
+
+
+class ChunkCoder:
+    """Values of whole texts, put together from those of their chunks, each made once for a batch and then kept.
+
+    whole(text) and chunk(text) give values as bytes; chunk is asked only for what lies between blanks of usual texts
+    (with the blank before it, unless `words` says that white space is dropped and case folded). All else goes to whole.
+    """
+
+    def __init__(self, whole, chunk, dtype: str, words: bool, special: list[str], most: int = 600_000):
+        self.whole, self.words, self.special, self.dtype = whole, words, special, np.dtype(dtype)
+        self.heads = Kept(chunk, most // 8)
+        self.kept = Kept(chunk if words else lambda c: chunk(" " + c), most)
+        self.odd = np.zeros(256, dtype=bool)
+        self.odd[[*range(9), 11, 12, *range(14, 32), 127, *range(0xC8, 256)]] = True  # lead bytes from U+0200
+
+    def unusual(self, texts: pa.StringArray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        own = raw[at[0] : at[-1]]
+        where = [np.flatnonzero(self.odd[own])]
+        lead = np.flatnonzero((own[:-1] == 0xC2) | (own[:-1] == 0xC4))
+        where.append(lead[((own[lead] == 0xC2) & (own[lead + 1] < 0xA0)) | ((own[lead] == 0xC4) & (own[lead + 1] == 0xB0))])
+        rows = np.zeros(len(texts), dtype=bool)
+        rows[np.searchsorted(at - at[0], np.concatenate(where), side="right") - 1] = True
+        for mark in self.special if self.words else [*self.special, *RUNS]:
+            rows |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        return rows
+
+    def __call__(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All values in a row, each text's followed by `end`; where each text's begin, and the end of the last."""
+        texts = texts.cast(pa.string())
+        n = len(texts)
+        at = np.frombuffer(texts.buffers()[1], dtype="<i4", count=n + 1, offset=4 * texts.offset)
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        odd = self.unusual(texts, raw, at)
+        usual = pc.if_else(pa.array(odd), "", texts)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(usual)) if self.words else pc.split_pattern(usual, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        own = [self.kept[c] for c in coded.dictionary.to_pylist()]
+        first = np.asarray(lists.offsets)[:n].astype(np.int64) - lists.offsets[0].as_py()
+        if not self.words:  # what begins a text has no blank before it
+            codes[first] = len(own) + np.arange(n)
+            own += [self.heads[h] for h in pc.list_element(lists, 0).to_pylist()]
+        wholes = np.flatnonzero(odd)
+        if len(wholes):
+            codes[first[wholes]] = len(own) + np.arange(len(wholes))
+            own += [self.whole(t) for t in texts.take(pa.array(wholes)).to_pylist()]
+        ends = np.append(first[1:], len(codes))
+        if end:
+            codes, ends = np.insert(codes, ends, len(own)), ends + np.arange(1, n + 1)
+            own.append(end)
+        size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // self.dtype.itemsize
+        held = np.frombuffer(b"".join(own), dtype=self.dtype)
+        begin = np.cumsum(size) - size
+        long = size[codes]
+        upto = np.cumsum(long)
+        values = held[np.repeat(begin[codes] - upto + long, long) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        return values, np.concatenate([[0], upto[ends - 1]]) if n else np.zeros(1, dtype=np.int64)
 
 
 class PieceEncoder:
-    def __init__(self, path: str, dtype: str = "<u4", most: int = 600_000):
+    """Ids of texts: encode(texts) for an Arrow array, encode.library(text) for one by the library alone."""
+
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.dtype = np.dtype(dtype)
-        self.memo = PieceIds(self.library, dtype, most)
+        self.letters = str.maketrans({b: c for c, b in byte_letters().items()})
+        self.merge = self.tokenizer.model.tokenize
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
-        self.lower = False
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
-            self.split = re.compile(BYTE_SPLIT).findall
+            self.split, words = re.compile(BYTE_SPLIT).findall, False
         elif norm and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
-            self.split, self.lower = re.compile(WORD_SPLIT).findall, True
+            self.split, words = re.compile(WORD_SPLIT).findall, True
         else:
-            self.split = None
+            raise ValueError("the file's way of cutting text isn't known here")
+        self.coder = ChunkCoder(self.whole, self.chunk, "<u4", words, [t["content"] for t in spec["added_tokens"]], most)
 
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def plain(self, text: str) -> bool:
-        return self.split is not None and not UNUSUAL.search(text) and not any(s in text for s in self.special)
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library(text)).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        """Each piece of the chunk through the library's merge model."""
+        ids = array("I")
+        for piece in self.split(text):
+            ids.extend([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))])
+        return ids.tobytes()
+
+    def __call__(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        return self.coder(texts, end)
+
 
-    def __call__(self, text: str) -> bytes:
-        """The ids of the whole text, as bytes."""
-        if not self.plain(text):
-            return np.array(self.library(text), dtype=self.dtype).tobytes()
-        return b"".join(map(self.memo.__getitem__, self.split(text.lower() if self.lower else text)))
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the rest follow from U+0100."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(kept)]
+    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, dtype: str = "<u4") -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One for each worker process and file."""
-    return PieceEncoder(path, dtype)
+    return PieceEncoder(path)
+
+
+def sliced(batches, column: str = "text", size: int = 8 << 20):
+    """The batches in slices of about `size` bytes of text."""
+    for batch in batches:
+        lo = 0
+        while lo < batch.num_rows:
+            texts = batch.column(column).cast(pa.string())
+            at = np.frombuffer(texts.buffers()[1], dtype="<i4", count=len(texts) + 1, offset=4 * texts.offset)
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi

@@ -14,11 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_sized
-from .pieces import CONTRACTIONS, LETTERS, NUMBERS, UNUSUAL
+from .pieces import CONTRACTIONS, LETTERS, NUMBERS, UNUSUAL, ChunkCoder, Kept, byte_letters, sliced
 
 #: A unit is a run of white space with the piece behind it: no other prefix changes how it is cut.
 UNITS = rf"(?:\s*[^\S ])?(?:{CONTRACTIONS})|\s*(?:[{{L}}]+|[{{N}}]+|[^\s{{L}}{{N}}]+)|\s+"
@@ -27,13 +28,6 @@ SHAPE = re.compile(rf"(\s*)(.*)", re.S)
 CONTRACTED = set(CONTRACTIONS.split("|"))
 
 
-def byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, the rest follow from U+0100."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(kept)]
-    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
@@ -49,10 +43,10 @@ class PrefixCounter:
         self.vocab = {raw(t) for t in spec["model"]["vocab"] if t not in self.special}
         self.longest = max(map(len, self.vocab))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.units: dict[str, bytes] = {}
-        self.most = most
+        self.units = Kept(self.unit, most // 4)
         self.usual = re.compile(UNITS.format(L=LETTERS, N=NUMBERS)).findall
         self._other = None
+        self.coder = ChunkCoder(self.settled, self.plain_steps, "i1", False, self.special, most)
 
     def merged(self, text: bytes) -> list[bytes]:
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -131,16 +125,7 @@ class PrefixCounter:
             units = self._other(text)
         else:
             units = self.usual(text)
-        memo, out = self.units, []
-        for u in units:
-            if (s := memo.get(u)) is None:
-                s = self.unit(u)
-                if len(u) <= 48:
-                    if len(memo) >= self.most:
-                        memo.clear()
-                    memo[u] = s
-            out.append(s)
-        return b"".join(out)
+        return b"".join(map(self.units.__getitem__, units))
 
     def steps(self, text: str) -> bytes:
         """One signed byte for each character: tokens of the prefix that ends there, less those of the one before."""
@@ -156,19 +141,22 @@ class PrefixCounter:
             out += cut.tobytes() + np.int8(last).tobytes()
         return out + self.plain_steps(parts[-1])
 
+    def settled(self, text: str) -> bytes:
+        """steps(text), the last one set by the library's own count of the whole text."""
+        steps = np.frombuffer(self.steps(text), dtype=np.int8).copy()
+        if len(steps):
+            steps[-1] += len(self.library.encode(text, add_special_tokens=False).ids) - int(steps.sum(dtype=np.int64))
+        return steps.tobytes()
+
     def table(self, text: str) -> np.ndarray:
-        """Tokens of text[:k] for k from 0 to the length; the last entry is the library's own count where pieces are unusual."""
-        steps = self.steps(text)
-        counts = np.zeros(len(text) + 1, dtype=np.int64)
-        np.cumsum(np.frombuffer(steps, dtype=np.int8), out=counts[1:], dtype=np.int64)
-        if UNUSUAL.search(text):
-            counts[-1] = len(self.library.encode(text, add_special_tokens=False).ids)
-        return counts
+        """Tokens of text[:k] for k from 0 to the length."""
+        return np.concatenate([[0], np.cumsum(np.frombuffer(self.steps(text), dtype=np.int8), dtype=np.int64)])
 
 
-def longest_within(counts: np.ndarray, budget: int) -> int:
-    """The longest prefix, in characters, of at most `budget` tokens."""
-    return int(np.flatnonzero(counts <= budget)[-1])
+def longest_within(table: np.ndarray, budget: int) -> int:
+    """The longest prefix of at most `budget` tokens; table[k] has the tokens of the first k + 1 characters."""
+    fine = np.flatnonzero(table <= budget)
+    return int(fine[-1]) + 1 if len(fine) else 0
 
 
 @lru_cache(maxsize=2)
@@ -189,17 +177,19 @@ def prefix_table(docs: DataFrame, tokenizer: str, budget: int, text: str = "text
 
     def run(batches):
         count = counter(tokenizer)
-        for batch in batches:
-            n_bytes, n_tokens, fits, steps = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                table = count.table(t)
-                n_bytes.append(len(t.encode()))
-                n_tokens.append(int(table[-1]))
-                fits.append(len(t) if table[-1] <= budget else longest_within(table[:-1], budget))
-                steps.append(np.diff(table).astype(np.int8).tobytes())
-            keys = [batch.column(f"k{i}") for i in range(len(keep))]
+        for some in sliced(batches):
+            texts = some.column("text")
+            steps, at = count.coder(texts)
+            n_bytes, n_tokens, fits, rows = pc.binary_length(texts.cast(pa.binary())), [], [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                own = steps[a:b]
+                table = np.cumsum(own, dtype=np.int64)
+                n_tokens.append(int(table[-1]) if b > a else 0)
+                fits.append(b - a if n_tokens[-1] <= budget else longest_within(table, budget))
+                rows.append(own.tobytes())
+            keys = [some.column(f"k{i}") for i in range(len(keep))]
             names = [f"k{i}" for i in range(len(keep))] + ["n_bytes", "n_tokens", "fits_chars", "prefix_steps"]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(fits, pa.int64()), pa.array(steps, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*keys, n_bytes.cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(fits, pa.int64()), pa.array(rows, pa.binary())], names=names)
 
     out = src.mapInArrow(run, f"{kinds}, n_bytes long, n_tokens long, fits_chars long, prefix_steps binary")
     return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "n_bytes", "n_tokens", "fits_chars", "prefix_steps")

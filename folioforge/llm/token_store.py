@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_sized
-from .pieces import encoder
+from .pieces import encoder, sliced
 
 #: Writer settings: bytes of a row group and of a page, rows of a page, dictionary pages, page checksums.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.dictionary.page.size": str(1 << 20), "parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_2_0", "parquet.page.write-checksum.enabled": "true", "compression": "zstd"}
@@ -35,15 +35,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, ke
     def run(batches):
         encode, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                rows = [encode(t) + end for t in some.column("text").to_pylist()]
-                sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-                ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(np.full(len(rows), part, dtype=np.int32)), pa.array(at + ends - sizes), pa.array(sizes), ids], names=["key", "part", "local_start", "n_tokens", "ids"])
-                at += int(ends[-1])
+        for some in sliced(batches):
+            ids, offsets = encode(some.column("text"), end)
+            sizes = np.diff(offsets)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(at + offsets[:-1]), pa.array(sizes), lists], names=["key", "part", "local_start", "n_tokens", "ids"])
+            at += int(offsets[-1])
 
     kind = docs.schema[key].dataType.simpleString()
     ordered.mapInArrow(run, f"key {kind}, part int, local_start long, n_tokens long, ids array<int>").write.options(**LAYOUT).parquet(path)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -13,7 +14,7 @@ from folioforge.llm.common import new_path
 from folioforge.llm.pieces import PieceEncoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-EDGES = ["", "   ", "don't we'll  'sun\n\n's \n 're''re 12x34 !!!!", "<|endoftext|> abc <|endoftext|><|endof", "日本語 テキスト émoji 😀 x", "İ \x1c\x85 ss İ'LL", "Ⱥ ǅ ²½ \xa0 x", "a" * 400 + " " * 90, "<|startoftext|>It's"]
+EDGES = ["", "   ", "don't we'll  'sun\n\n's \n 're''re 12x34 !!!!", "<|endoftext|> abc <|endoftext|><|endof", "日本語 テキスト émoji 😀 x", "İ \x1c\x85 ss İ'LL", "Ⱥ ǅ ²½ \xa0 x", "a" * 400 + " " * 90, "<|startoftext|>It's", " a  b \n c\n d\n \n e  \nf \n\n g\t h ", "a \n  b   c", "x\xa0 y \xa0z "]
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +27,10 @@ def edges(spark):
 def test_pieces_equal_library(spark, small_dir, path):
     encode = PieceEncoder(path)
     texts = EDGES + [r.text for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
-    for t in texts:
-        assert encode(t) == np.array(encode.library(t), dtype="<u4").tobytes(), t[:80]
+    ids, at = encode(pa.array(texts), b"\7\0\0\0")
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == [*encode.library(t), 7], t[:80]
+    assert encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def test_every_prefix_has_the_library_count():
@@ -66,7 +69,7 @@ def test_token_store(spark, small_dir, edges):
     token_store.write_tokens(edges, path, WORD)
     read = token_store.read_tokens(spark, path)
     rows = sorted(read.collect(), key=lambda r: r.start)
-    assert [r.key for r in rows] == [None, 0, 1, 2, 3, 4, 5, 6, 7, 7, 8, 50]
+    assert [r.key for r in rows] == [None, 0, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9, 10, 11, 50]
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
     assert all(r.ids[-1] == 1 and len(r.ids) == r.n_tokens for r in rows)
     token_store.write_tokens(edges.limit(0), path + "e", WORD)
