@@ -167,6 +167,6 @@ def predicted(docs: DataFrame, model: Profiles, keep: tuple[str, ...] = ("doc_id
             found = [own.predict(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"])
 
-    kinds = ", ".join(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep))
-    out = docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), F.col("text").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    kinds = ", ".join([*(f"k{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)), "lang_pred string", "score double"])
+    out = docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)), F.col("text").alias("__text")).mapInArrow(run, kinds)
     return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), "lang_pred", "score")
