@@ -24,26 +24,29 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
-def closing(lines: Column, divisor: int, long_words: int) -> Column:
-    """The numbers, from 0, of the lines that close a chunk, the last line among them."""
-    facts = F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), ((F.length(x) >= 2 * long_words - 1) & (n_words(x) >= long_words)).alias("long")))
-    return F.filter(
-        F.transform(facts, lambda f, i: F.struct(i.alias("i"), (
-            (i == F.size(lines) - 1)
-            | f["long"]
-            | F.coalesce(F.get(facts, i + 1)["long"], F.lit(False))
-            | (F.pmod(F.coalesce(F.get(facts, i - 1)["h"], F.lit(0)) * 31 + f["h"], F.lit(divisor)) == 0)
-        ).alias("close"))),
-        lambda c: c["close"],
+def with_ends(df: DataFrame, divisor: int, long_words: int) -> DataFrame:
+    """Adds __ends to df with __lines: the numbers, from 0, of the lines that close a chunk, the last line among them.
+
+    Each step is a column of its own, as a lambda evaluates an expression that it refers to anew for each element.
+    """
+    line = F.struct
+    facts = F.transform("__lines", lambda x: line(line_hash(x).alias("h"), ((F.length(x) >= 2 * long_words - 1) & (n_words(x) >= long_words)).alias("long")))
+    before, after = (lambda i: F.get("__facts", i - 1)), (lambda i: F.get("__facts", i + 1))
+    flags = F.transform(
+        "__facts",
+        lambda f, i: (i == F.size("__facts") - 1) | f["long"] | F.coalesce(after(i)["long"], F.lit(False)) | (F.pmod(F.coalesce(before(i)["h"], F.lit(0)) * 31 + f["h"], F.lit(divisor)) == 0),
     )
+    marked = df.withColumn("__facts", facts).withColumn("__flags", flags)
+    numbered = F.when(F.col("__flags").isNotNull(), F.sequence(F.lit(0), F.size("__flags") - 1))
+    return marked.withColumn("__ends", F.filter(numbered, lambda i: F.get("__flags", i))).drop("__facts", "__flags")
 
 
 def chunked(docs: DataFrame, divisor: int, long_words: int) -> DataFrame:
     """doc_id, h, chunk_no, lines (of the chunk) for all rows with a text."""
-    base = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
-    ends = base.select("doc_id", "h", "lines", F.transform(closing(F.col("lines"), divisor, long_words), lambda c: c["i"]).alias("ends"))
-    chunks = F.transform("ends", lambda e, k: F.slice("lines", F.coalesce(F.get("ends", k - 1), F.lit(-1)) + 2, e - F.coalesce(F.get("ends", k - 1), F.lit(-1))))
-    return ends.select("doc_id", "h", F.posexplode(chunks).alias("chunk_no", "lines"))
+    base = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("__lines"))
+    start = lambda k: F.coalesce(F.get("__ends", k - 1), F.lit(-1)) + 2
+    chunks = F.transform("__ends", lambda e, k: F.slice("__lines", start(k), e - start(k) + 2))
+    return with_ends(base, divisor, long_words).select("doc_id", "h", F.posexplode(chunks).alias("chunk_no", "lines"))
 
 
 def repeated_chunks(docs: DataFrame, divisor: int, long_words: int) -> DataFrame:
@@ -70,14 +73,18 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, long_words: int = 50) -> Data
     """
     gone = repeated_chunks(docs, divisor, long_words).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_set("chunk_no").alias("__gone"))
     joined = docs.withColumn("__t", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")) & F.col("text").isNotNull(), "left")
-    lines = F.split("text", "\n")
-    ends = joined.withColumn("__lines", lines).withColumn("__ends", F.when(F.col("__gone").isNotNull(), F.transform(closing(F.col("__lines"), divisor, long_words), lambda c: c["i"])))
+    touched = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
+    ends = with_ends(touched, divisor, long_words)
     start = lambda k: F.coalesce(F.get("__ends", k - 1), F.lit(-1)) + 2
     kept = F.flatten(F.transform("__ends", lambda e, k: F.when(F.array_contains("__gone", k), F.array().cast("array<string>")).otherwise(F.slice("__lines", start(k), e - start(k) + 2))))
-    own = {"text_before": F.col("text"), "n_lines": F.coalesce(F.size("__lines"), F.lit(0)), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)), "removed_lines": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size(kept))}
-    own["n_lines"] = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines"))
-    own["n_removed"] = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
-    clean = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    ends = ends.withColumn("__kept", kept)
+    own = {
+        "text_before": F.col("text"),
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1),
+        "n_removed": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")),
+        "removed_lines": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept")),
+    }
+    clean = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     return ends.select(*(clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), *(e.alias(c) for c, e in own.items() if c not in docs.columns))
 
 
