@@ -57,7 +57,9 @@ def repeated_chunks(docs: DataFrame, divisor: int, long_words: int) -> DataFrame
     same = placed.groupBy("key", "bytes").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.max("place").alias("last"))
     by_key = stored(same.groupBy("key").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).where("texts > 1 or first != last"), "repeated-chunks")
     clear = by_key.where("texts = 1").select("key", "first")
-    others = placed.drop("bytes").join(clear, "key").where("place != first").select("place.*")
+    others = placed.drop("bytes").join(clear, "key").where("place != first").select("place.*").distinct()
+    if not by_key.where("texts > 1").limit(1).count():
+        return others
     # different bytes under one hash: these are compared as bytes again
     mixed = placed.join(by_key.where("texts > 1").select("key"), "key", "left_semi")
     firsts = mixed.groupBy("bytes").agg(F.min("place").alias("first"))
