@@ -29,7 +29,7 @@ CONTRACTED = set(CONTRACTIONS.split("|"))
 
 
 class PrefixCounter:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
