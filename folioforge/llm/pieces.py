@@ -1,9 +1,10 @@
 """Token ids of whole texts, encoding each distinct piece of text once per worker.
 
-The text is split at blanks into chunks, and a chunk's ids are made once. A tokenizer whose pre-tokenizer cuts the text by a pattern encodes every piece by itself, so the ids of a text are the
-ids of its pieces in order. The pieces' ids come from the tokenizers library and are kept in a bounded table. The cut is
-made here only where Python's classes and the library's are the same, up to U+01FF; every other text, and every text
-that holds a special string, goes to the library whole.
+A tokenizer whose pre-tokenizer cuts the text by a pattern encodes every piece by itself, so the ids of a text are the
+ids of its pieces in order. The cuts of a batch are found at once from the classes of its characters; the ids of the
+distinct pieces come from the tokenizers library and are kept in a bounded table. The cut is made here only where
+Python's classes and the library's are the same, up to U+01FF; every other text, and every text that holds a special
+string, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -22,13 +23,29 @@ LAST = 0x1FF
 LETTERS = "a-zA-Z" + "".join(chr(c) for c in range(0xA0, LAST + 1) if unicodedata.category(chr(c))[0] == "L")
 NUMBERS = "0-9" + "".join(chr(c) for c in range(0xA0, LAST + 1) if unicodedata.category(chr(c))[0] == "N")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Fixed by the tokenizer files: the byte-level split and the split of the lower-cased text into words.
-BYTE_SPLIT = rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
-WORD_SPLIT = rf"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+"
 #: Anything else than these goes to the library whole. U+0130 has a lower case of two characters.
 UNUSUAL = re.compile(rf"[^\t\n\r -~\xa0-{chr(LAST)}]|İ")
 
 
+#: Bytes that such characters have: controls, and lead bytes from U+0200.
+ODD = np.zeros(256, dtype=bool)
+ODD[[*range(9), 11, 12, *range(14, 32), 127, *range(0xC8, 256)]] = True
+LETTER, NUMBER, MARK, BLANK, SPACE = range(5)
+
+
+def kind_of(char: str) -> int:
+    if char.isspace():
+        return BLANK if char == " " else SPACE
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(char)[0], MARK)
+
+
+#: Kinds of characters of one byte and of two; lower case may lead from below U+0200 to above.
+WIDE_KIND = np.array([kind_of(chr(c)) for c in range(0x800)], dtype=np.uint8)
+ASCII_KIND = np.concatenate([WIDE_KIND[:128], np.full(128, MARK, dtype=np.uint8)])
+#: What follows the apostrophe of a contraction.
+ONE_LETTER = np.frombuffer(b"stmd", dtype=np.uint8)
+TWO_LETTERS = np.frombuffer(b"revell", dtype=">u2").astype(np.int64)
+
 #: White space before a blank: then a run of white space isn't cut at its blanks.
 RUNS = ("  ", "\n ", "\t ", "\r ", "\xa0 ")
 
@@ -56,44 +73,27 @@ class Kept(dict):
 class ChunkCoder:
     """Values of whole texts, put together from those of their chunks, each made once for a batch and then kept.
 
-    whole(text) and chunk(text) give values as bytes; chunk is asked only for what lies between blanks of usual texts
-    (with the blank before it, unless `words` says that white space is dropped and case folded). All else goes to whole.
+    whole(text) and chunk(text) give values as bytes; chunk is asked only for what lies between blanks of usual texts,
+    with the blank before it. All else goes to whole.
     """
 
-    def __init__(self, whole, chunk, dtype: str, words: bool, special: list[str], most: int = 600_000):
-        self.whole, self.words, self.special, self.dtype = whole, words, special, np.dtype(dtype)
+    def __init__(self, whole, chunk, dtype: str, special: list[str], most: int = 600_000):
+        self.whole, self.special, self.dtype = whole, special, np.dtype(dtype)
         self.heads = Kept(chunk, most // 8)
-        self.kept = Kept(chunk if words else lambda c: chunk(" " + c), most)
-        self.odd = np.zeros(256, dtype=bool)
-        self.odd[[*range(9), 11, 12, *range(14, 32), 127, *range(0xC8, 256)]] = True  # lead bytes from U+0200
-
-    def unusual(self, texts: pa.StringArray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        own = raw[at[0] : at[-1]]
-        where = [np.flatnonzero(self.odd[own])]
-        lead = np.flatnonzero((own[:-1] == 0xC2) | (own[:-1] == 0xC4))
-        where.append(lead[((own[lead] == 0xC2) & (own[lead + 1] < 0xA0)) | ((own[lead] == 0xC4) & (own[lead + 1] == 0xB0))])
-        rows = np.zeros(len(texts), dtype=bool)
-        rows[np.searchsorted(at - at[0], np.concatenate(where), side="right") - 1] = True
-        for mark in self.special if self.words else [*self.special, *RUNS]:
-            rows |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        return rows
+        self.kept = Kept(lambda c: chunk(" " + c), most)
 
     def __call__(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """All values in a row, each text's followed by `end`; where each text's begin, and the end of the last."""
         texts = texts.cast(pa.string())
         n = len(texts)
-        at = np.frombuffer(texts.buffers()[1], dtype="<i4", count=n + 1, offset=4 * texts.offset)
-        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-        odd = self.unusual(texts, raw, at)
-        usual = pc.if_else(pa.array(odd), "", texts)
-        lists = pc.utf8_split_whitespace(pc.utf8_lower(usual)) if self.words else pc.split_pattern(usual, " ")
+        odd = unusual(texts, [*self.special, *RUNS])
+        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         own = [self.kept[c] for c in coded.dictionary.to_pylist()]
         first = np.asarray(lists.offsets)[:n].astype(np.int64) - lists.offsets[0].as_py()
-        if not self.words:  # what begins a text has no blank before it
-            codes[first] = len(own) + np.arange(n)
-            own += [self.heads[h] for h in pc.list_element(lists, 0).to_pylist()]
+        codes[first] = len(own) + np.arange(n)  # what begins a text has no blank before it
+        own += [self.heads[h] for h in pc.list_element(lists, 0).to_pylist()]
         wholes = np.flatnonzero(odd)
         if len(wholes):
             codes[first[wholes]] = len(own) + np.arange(len(wholes))
@@ -102,15 +102,112 @@ class ChunkCoder:
         if end:
             codes, ends = np.insert(codes, ends, len(own)), ends + np.arange(1, n + 1)
             own.append(end)
-        size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // self.dtype.itemsize
-        held = np.frombuffer(b"".join(own), dtype=self.dtype)
-        begin = np.cumsum(size) - size
-        long = size[codes]
-        upto = np.cumsum(long)
-        values = held[np.repeat(begin[codes] - upto + long, long) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        values, upto = joined(own, codes, self.dtype)
         return values, np.concatenate([[0], upto[ends - 1]]) if n else np.zeros(1, dtype=np.int64)
 
 
+def unusual(texts: pa.StringArray, marks: list[str]) -> np.ndarray:
+    """Which texts hold a character beyond the classes known here, or one of the marks."""
+    own, at = text_bytes(texts)
+    where = [np.flatnonzero(ODD[own])]
+    lead = np.flatnonzero((own[:-1] == 0xC2) | (own[:-1] == 0xC4))
+    where.append(lead[((own[lead] == 0xC2) & (own[lead + 1] < 0xA0)) | ((own[lead] == 0xC4) & (own[lead + 1] == 0xB0))])
+    rows = np.zeros(len(texts), dtype=bool)
+    rows[np.searchsorted(at, np.concatenate(where), side="right") - 1] = True
+    for mark in marks:
+        rows |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+    return rows
+
+
+def text_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, and where each begins, with the end of the last."""
+    at = np.frombuffer(texts.buffers()[1], dtype="<i4", count=len(texts) + 1, offset=4 * texts.offset)
+    return np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def joined(own: list[bytes], codes: np.ndarray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values own[c] for each code c in a row, and how many there are up to and with each."""
+    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // dtype.itemsize
+    held = np.frombuffer(b"".join(own), dtype=dtype)
+    begin = np.cumsum(size) - size
+    long = size[codes]
+    upto = np.cumsum(long)
+    return held[np.repeat(begin[codes] - upto + long, long) + np.arange(int(upto[-1]) if len(upto) else 0)], upto
+
+
+def piece_starts(own: np.ndarray, at: np.ndarray, words: bool) -> np.ndarray:
+    """Where the pieces of usual texts begin, in bytes of all texts in a row; each text's first piece begins with it.
+
+    A piece is a run of letters, of numbers or of other marks, with the blank before it; a contraction behind a letter, a
+    number or white space; or white space, whose last character is no part of it where more follows. For `words` a
+    number is a piece by itself, a contraction may follow a blank, and white space counts for nothing.
+    """
+    n = len(own)
+    kind = ASCII_KIND[own]
+    lead = np.flatnonzero(own >= 0xC2)
+    kind[lead] = kind[lead + 1] = WIDE_KIND[((own[lead] & 31).astype(np.int64) << 6) | (own[lead + 1] & 63)]
+    opens = np.zeros(n + 3, dtype=bool)
+    opens[at] = True
+    space = np.ones(n + 3, dtype=bool)  # behind the end nothing follows
+    space[:n] = kind >= BLANK
+    starts = np.ones(n, dtype=bool)
+    starts[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK)
+    inner = np.flatnonzero(space[1:n] & space[: n - 1]) + 1
+    starts[inner] = ~space[inner + 1] & ~opens[inner + 1]
+    wide = lead[kind[lead] == SPACE]
+    starts[wide] = ~space[wide - 1] | (~space[wide + 2] & ~opens[wide + 2])
+    starts[wide + 1] = False
+    if words:
+        more = np.flatnonzero((kind[1:] == NUMBER) & (kind[:-1] == NUMBER)) + 1
+        starts[more] = own[more] & 0xC0 != 0x80
+    starts[at[:-1][at[:-1] < n]] = True
+    mark = np.flatnonzero(own == ord("'"))
+    mark = mark[starts[mark] | ((kind[mark - 1] == BLANK) if words else False)]
+    ahead = np.zeros((2, len(mark)), dtype=np.uint8)
+    for k in (0, 1):
+        inside = mark + k + 1 < n
+        ahead[k, inside] = own[mark[inside] + k + 1]
+    one = ~opens[mark + 1] & np.isin(ahead[0], ONE_LETTER)
+    two = ~opens[mark + 1] & ~opens[mark + 2] & np.isin(ahead[0].astype(np.int64) << 8 | ahead[1], TWO_LETTERS)
+    starts[mark[one | two] + 1] = False
+    ends = np.concatenate([mark[one] + 2, mark[two] + 3])
+    starts[ends[ends < n]] = True
+    return np.flatnonzero(starts)
+
+
+class PieceCoder:
+    """Ids of whole texts, put together from those of their pieces, each made once for a batch and then kept."""
+
+    def __init__(self, whole, piece, words: bool, special: list[str], most: int):
+        self.whole, self.words, self.special, self.dtype = whole, words, special, np.dtype("<u4")
+        self.kept = Kept(piece, most)
+
+    def __call__(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, each text's followed by `end`; where each text's begin, and the end of the last."""
+        texts = texts.cast(pa.string())
+        n = len(texts)
+        odd = unusual(texts, self.special)
+        usual = pc.if_else(pa.array(odd), "", texts)
+        raw, at = text_bytes(pc.utf8_lower(usual) if self.words else usual)
+        starts = piece_starts(raw, at, self.words)
+        offsets = np.append(starts, len(raw)).astype("<i4")
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        own = list(map(self.kept.__getitem__, coded.dictionary.to_pylist()))
+        bounds = np.searchsorted(starts, at)
+        wholes = np.flatnonzero(odd)
+        if len(wholes):
+            codes = np.insert(codes, bounds[wholes], len(own) + np.arange(len(wholes)))
+            bounds = bounds + np.concatenate([[0], np.cumsum(odd)])
+            own += [self.whole(t) for t in texts.take(pa.array(wholes)).to_pylist()]
+        if end:
+            codes = np.insert(codes, bounds[1:], len(own))
+            bounds = bounds + np.arange(n + 1)
+            own.append(end)
+        values, upto = joined(own, codes, self.dtype)
+        return values, np.concatenate([[0], upto])[bounds]
+
+
 class PieceEncoder:
     """Ids of texts: encode(texts) for an Arrow array, encode.library(text) for one by the library alone."""
 
@@ -124,12 +221,12 @@ class PieceEncoder:
         self.merge = self.tokenizer.model.tokenize
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
-            self.split, words = re.compile(BYTE_SPLIT).findall, False
+            words = False
         elif norm and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
-            self.split, words = re.compile(WORD_SPLIT).findall, True
+            words = True
         else:
             raise ValueError("the file's way of cutting text isn't known here")
-        self.coder = ChunkCoder(self.whole, self.chunk, "<u4", words, [t["content"] for t in spec["added_tokens"]], most)
+        self.coder = PieceCoder(self.whole, self.word if words else self.piece, words, [t["content"] for t in spec["added_tokens"]], most)
 
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -137,12 +234,13 @@ class PieceEncoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.library(text)).tobytes()
 
-    def chunk(self, text: str) -> bytes:
-        """Each piece of the chunk through the library's merge model."""
-        ids = array("I")
-        for piece in self.split(text):
-            ids.extend([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))])
-        return ids.tobytes()
+    def piece(self, piece: bytes) -> bytes:
+        """The piece through the library's merge model."""
+        return array("I", [t.id for t in self.merge(piece.decode("latin-1").translate(self.letters))]).tobytes()
+
+    def word(self, piece: bytes) -> bytes:
+        word = piece.decode().strip().encode()
+        return self.piece(word) if word else b""
 
     def __call__(self, texts: pa.StringArray, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         return self.coder(texts, end)

@@ -46,7 +46,7 @@ class PrefixCounter:
         self.units = Kept(self.unit, most // 4)
         self.usual = re.compile(UNITS.format(L=LETTERS, N=NUMBERS)).findall
         self._other = None
-        self.coder = ChunkCoder(self.settled, self.plain_steps, "i1", False, self.special, most)
+        self.coder = ChunkCoder(self.settled, self.plain_steps, "i1", self.special, most)
 
     def merged(self, text: bytes) -> list[bytes]:
         parts = [text[i : i + 1] for i in range(len(text))]
