@@ -142,7 +142,8 @@ def piece_starts(own: np.ndarray, at: np.ndarray, words: bool) -> np.ndarray:
     number or white space; or white space, whose last character is no part of it where more follows. For `words` a
     number is a piece by itself, a contraction may follow a blank, and white space counts for nothing.
     """
-    n = len(own)
+    if not (n := len(own)):
+        return np.zeros(0, dtype=np.int64)
     kind = ASCII_KIND[own]
     lead = np.flatnonzero(own >= 0xC2)
     kind[lead] = kind[lead + 1] = WIDE_KIND[((own[lead] & 31).astype(np.int64) << 6) | (own[lead + 1] & 63)]

@@ -1,5 +1,6 @@
 """Token counts, token files and packing against the library, on sf0.001 and on edge cases."""
 
+import random
 import zlib
 
 import numpy as np
@@ -31,6 +32,20 @@ def test_pieces_equal_library(spark, small_dir, path):
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == [*encode.library(t), 7], t[:80]
     assert encode(pa.array([], pa.string()))[1].tolist() == [0]
+    assert encode(pa.array(["", "日"]).slice(0, 1), b"\7\0\0\0")[1].tolist() == [0, 1]
+
+
+PARTS = ["a", "b", "é", "Ɓ", "ß", "1", "2", "²", "¼", "!", "'", "'s", "'re", "'ll", "'L", "'RE", " ", "\n", "\t", "\xa0", ".", "Ÿ", "ǅ", "ª", "\xad", "日", "İ"]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_cuts_equal_library_on_random_texts(path):
+    encode, rnd = PieceEncoder(path), random.Random(4)
+    for upto in (25, len(PARTS)):
+        texts = ["".join(rnd.choices(PARTS[:upto], k=rnd.randrange(20))) for _ in range(2000)]
+        ids, at = encode(pa.array(["z", *texts]).slice(1))
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == encode.library(t), repr(t)
 
 
 def test_every_prefix_has_the_library_count():
