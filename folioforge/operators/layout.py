@@ -26,17 +26,18 @@ def anchored(values: Column, tolerance: float, value) -> Column:
     return F.aggregate(values, zero, lambda s, v: F.concat(s, F.array(F.when((F.size(s) > 0) & (value(v) - F.element_at(s, -1) <= tolerance), F.element_at(s, -1)).otherwise(value(v)))))
 
 
-def words_to_lines(words: DataFrame, page: str = "page", tolerance: float = P.LINE_TOLERANCE) -> DataFrame:
+def words_to_lines(words: DataFrame, page: str = "page", tolerance: float = P.LINE_TOLERANCE, metrics: DataFrame | None = None) -> DataFrame:
     """page, line_no, text, x0, x1, top, bottom, size_median, n_words.
 
     Words by (top, x0) stay on a line while their top is within tolerance of the line's first word; gaps wider than half
     a character become blanks, as many as characters fit, half to even. Lines without text go.
+    metrics: char_metrics by page, of these words where none is given.
     """
     word = F.struct("top", "x0", "x1", "bottom", "text", "size")
     pages = words.groupBy(page).agg(F.array_sort(F.collect_list(word)).alias("w")).withColumn("a", anchored(F.col("w"), tolerance, lambda v: v["top"]))
     each = pages.select(page, F.posexplode(F.arrays_zip("w", "a")).alias("pos", "z")).select(page, "pos", F.col("z.a").alias("anchor"), "z.w.*")
     own = Window.partitionBy(page, "anchor").orderBy("x0", "pos")
-    spaced = each.join(char_metrics(words, page), page).withColumn("dx", F.col("x0") - F.lag("x1").over(own))
+    spaced = each.join(char_metrics(words, page) if metrics is None else metrics, page).withColumn("dx", F.col("x0") - F.lag("x1").over(own))
     blanks = F.when(F.col("dx") > F.col("gap"), F.greatest(F.lit(1), F.bround(F.col("dx") / F.col("char_width")).cast("int"))).otherwise(0)
     joined = spaced.withColumn("piece", F.concat(F.repeat(F.lit(" "), blanks), F.col("text"))).withColumn("n", F.row_number().over(own))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda r: r["piece"]), "")

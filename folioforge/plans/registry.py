@@ -11,7 +11,7 @@ from folioforge.functions import headers
 from folioforge.functions import page_text as X
 from folioforge.functions import patterns as P
 from folioforge.functions import text as T
-from folioforge.operators import amendments, answer, chunking, layout, page_sections, sections, session, vector
+from folioforge.operators import amendments, answer, chunking, columns, layout, page_sections, sections, session, vector
 
 from . import derived as D
 
@@ -209,6 +209,22 @@ def page_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page", F.explode(F.array(*across, *down)).alias("s")).select("page", "s.*")
 
 
+def page_sizes(words: DataFrame) -> DataFrame:
+    return words.groupBy("page").agg(F.max("x1").alias("width"), (F.max("bottom") + 40).alias("height"), F.median("size").alias("body_size"))
+
+
+def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = D.derived(spark, sf_dir, D.TOKENS).withColumn("x0", F.col("x0") + F.when(F.col("x0") >= 300, 40.0).otherwise(0.0)).withColumn("x1", F.col("x0") + 5.0 * F.length("text"))
+    tables = words.where("false").select("page", "x0", "x1", "top", "bottom")
+    return columns.ordered_lines(words, tables, page_sizes(words))
+
+
+def turned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = D.derived(spark, sf_dir, D.TOKENS)
+    chars = words.select("page", "x0", "x1", "top", "bottom", F.when(F.col("page") % 2 == 0, 0).otherwise(270).alias("rotation"))
+    return columns.tables_by_rotation(page_rulings(spark, sf_dir), chars, page_sizes(words))
+
+
 def rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.ruling_lines(page_rulings(spark, sf_dir))
 
@@ -259,7 +275,7 @@ def table_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         vector_topk, vector_topk_per_corpus, search_preview, registry_labels, doc_lines, greedy_chunks, chunk_ids, header_parse, filename_meta, section_split, item_split, op_classify, item_validate, extract_report, amendment_info,
-        context_build, amendment_refs, answer_check, quote_check, code_like, session_window, effective_query, structure_extract, structure_match, page_median, page_percentile, line_build, rulings, table_grid, label_bind, section_stack, table_continuation,
+        context_build, amendment_refs, answer_check, quote_check, code_like, session_window, effective_query, structure_extract, structure_match, page_median, page_percentile, line_build, rulings, table_grid, label_bind, section_stack, table_continuation, page_columns, turned_tables,
     )
     return {q.__name__: q for q in own} | {f"amendment_override_{k}": override(k) for k in ("normal", "empty", "null")}
 
