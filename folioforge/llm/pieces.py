@@ -127,12 +127,14 @@ def text_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
 
 def joined(own: list[bytes], codes: np.ndarray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """The values own[c] for each code c in a row, and how many there are up to and with each."""
-    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // dtype.itemsize
+    size = np.fromiter(map(len, own), dtype=np.int32, count=len(own)) // dtype.itemsize
     held = np.frombuffer(b"".join(own), dtype=dtype)
-    begin = np.cumsum(size) - size
+    begin = np.cumsum(size, dtype=np.int64) - size
     long = size[codes]
-    upto = np.cumsum(long)
-    return held[np.repeat(begin[codes] - upto + long, long) + np.arange(int(upto[-1]) if len(upto) else 0)], upto
+    upto = np.cumsum(long, dtype=np.int64)
+    place = np.arange(int(upto[-1]) if len(upto) else 0, dtype=np.int32 if max(len(held), upto[-1] if len(upto) else 0) < 1 << 31 else np.int64)
+    place += np.repeat((begin[codes] - upto + long).astype(place.dtype), long)
+    return held[place], upto
 
 
 def piece_starts(own: np.ndarray, at: np.ndarray, words: bool) -> np.ndarray:
@@ -193,7 +195,7 @@ class PieceCoder:
         starts = piece_starts(raw, at, self.words)
         offsets = np.append(starts, len(raw)).astype("<i4")
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
+        codes = coded.indices.to_numpy()
         own = list(map(self.kept.__getitem__, coded.dictionary.to_pylist()))
         bounds = np.searchsorted(starts, at)
         wholes = np.flatnonzero(odd)
@@ -260,8 +262,8 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def sliced(batches, column: str = "text", size: int = 8 << 20):
-    """The batches in slices of about `size` bytes of text."""
+def sliced(batches, column: str = "text", size: int = 4 << 20):
+    """The batches in slices of about `size` bytes of text; at their end free memory goes back to the system."""
     for batch in batches:
         lo = 0
         while lo < batch.num_rows:
@@ -270,3 +272,4 @@ def sliced(batches, column: str = "text", size: int = 8 << 20):
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, side="right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()

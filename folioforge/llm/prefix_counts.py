@@ -177,7 +177,7 @@ def prefix_table(docs: DataFrame, tokenizer: str, budget: int, text: str = "text
 
     def run(batches):
         count = counter(tokenizer)
-        for some in sliced(batches):
+        for some in sliced(batches, size=8 << 20):
             texts = some.column("text")
             steps, at = count.coder(texts)
             n_bytes, n_tokens, fits, rows = pc.binary_length(texts.cast(pa.binary())), [], [], []
