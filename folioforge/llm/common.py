@@ -48,3 +48,13 @@ def arrow_sized(spark: SparkSession, size: int = 32 << 20) -> None:
     """Bound the Arrow batches that Python workers get by bytes, so that very long texts don't pile up in one batch."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+_held: dict = {}
+
+
+def sole_holder(name: str, drop=lambda: None) -> None:
+    """In a worker: `name` keeps tables from here on, and those of other operators that it ran before are dropped."""
+    for other in [k for k in _held if k != name]:
+        _held.pop(other)()
+    _held[name] = drop

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_sized
+from .common import arrow_sized, sole_holder
 
 DIM, GRAM, LETTERS = 512, 3, 96
 SPACE, OTHER = 0, 1
@@ -113,6 +113,7 @@ def train(docs: DataFrame, most_rows: int = 20_000) -> Profiles:
     sample = labelled if n <= most_rows else labelled.where(F.col("draw") < int(1_000_000 * most_rows / n))
 
     def letters(batches):
+        sole_holder("language_id")
         found: dict[int, int] = {}
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -158,6 +159,7 @@ def predicted(docs: DataFrame, model: Profiles, keep: tuple[str, ...] = ("doc_id
     key = zlib.crc32(model.prototypes.tobytes()) ^ hash(tuple(model.letters))
 
     def run(batches):
+        sole_holder("language_id")
         if key not in MODELS:
             MODELS.clear()
             MODELS[key] = Profiles(*facts[:3])

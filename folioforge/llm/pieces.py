@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import sole_holder
+
 LAST = 0x1FF
 LETTERS = "a-zA-Z" + "".join(chr(c) for c in range(0xA0, LAST + 1) if unicodedata.category(chr(c))[0] == "L")
 NUMBERS = "0-9" + "".join(chr(c) for c in range(0xA0, LAST + 1) if unicodedata.category(chr(c))[0] == "N")
@@ -256,12 +258,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
-    """One for each worker process and file."""
+@lru_cache(maxsize=1)
+def kept_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def encoder(path: str) -> PieceEncoder:
+    """One for each worker process, until another file or another operator with tables comes."""
+    sole_holder("pieces", kept_encoder.cache_clear)
+    return kept_encoder(path)
+
+
 def sliced(batches, column: str = "text", size: int = 4 << 20):
     """The batches in slices of about `size` bytes of text; at their end free memory goes back to the system."""
     for batch in batches:
