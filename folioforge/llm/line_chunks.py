@@ -5,6 +5,8 @@ of `long_words` words or more, which is a paragraph of several lines set in one,
 depend on the lines near them alone, and shifted copies give equal chunks. A chunk counts as a passage if it has at least
 two lines or `long_words` words. Of passages with the same bytes anywhere in the corpus, the first (by doc_id, the text's
 hash and the place) stays and the others go. Only DataFrame functions are used.
+
+Chunks miss passages whose chunk boundaries or neighbours differ. dedup_runs removes every repeated run instead.
 """
 
 from __future__ import annotations
@@ -90,6 +92,57 @@ def dedup_lines(docs: DataFrame, divisor: int = 2, long_words: int = 50) -> Data
     return ends.select(*(clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), *(e.alias(c) for c, e in own.items() if c not in docs.columns))
 
 
+def windows(docs: DataFrame, long_words: int) -> DataFrame:
+    """doc_id, h, i, n, key, bytes: every two lines that follow each other (n = 2), and every line of `long_words` words (n = 1)."""
+    base = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("__lines"))
+    after = lambda i: F.get("__lines", i + 1)
+    long = lambda x: (F.length(x) >= 2 * long_words - 1) & (n_words(x) >= long_words)
+    pairs = F.transform("__lines", lambda x, i: F.when(i < F.size("__lines") - 1, F.concat(x, F.lit("\n"), after(i))))
+    longs = F.transform("__lines", lambda x, i: F.when(long(x), x))
+    rows = [base.select("doc_id", "h", F.lit(n).alias("n"), F.posexplode(part).alias("i", "bytes")).where("bytes is not null") for n, part in ((2, pairs), (1, longs))]
+    return rows[0].unionByName(rows[1]).select("doc_id", "h", "i", "n", F.xxhash64("n", "bytes").alias("key"), "bytes")
+
+
+def repeated_windows(docs: DataFrame, long_words: int) -> DataFrame:
+    """doc_id, h, i, n of every window that isn't the first of its bytes."""
+    place = F.struct("doc_id", "h", "i", "n").alias("place")
+    every = windows(docs, long_words)
+    placed = stored(every.select("key", place), "line-windows")
+    again = stored(placed.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last").select("key"), "repeated-windows")
+    # equal hashes alone remove nothing: windows of repeated hashes are grouped by their bytes
+    same = every.select("key", place, "bytes").join(again, "key", "left_semi").groupBy("key", "bytes").agg(F.min("place").alias("first"))
+    by_key = stored(same.groupBy("key").agg(F.count("*").alias("texts"), F.min("first").alias("first")), "window-firsts")
+    others = placed.join(by_key.where("texts = 1").select("key", "first"), "key").where("place != first").select("place.*").distinct()
+    if not by_key.where("texts > 1").limit(1).count():
+        return others
+    mixed = every.select("key", place, "bytes").join(by_key.where("texts > 1").select("key"), "key", "left_semi")
+    firsts = mixed.groupBy("bytes", "place.n").agg(F.min("place").alias("first"))
+    return others.unionByName(mixed.join(firsts, (mixed.bytes == firsts.bytes) & (F.col("place.n") == firsts.n)).where("place != first").select("place.*")).distinct()
+
+
+def dedup_runs(docs: DataFrame, long_words: int = 50) -> DataFrame:
+    """docs with text without its repeated runs of lines, and text_before, n_lines, removed_lines.
+
+    A run is any number of lines of a document that follow each other with the same bytes at an earlier place of the corpus
+    (by doc_id, the text's hash and the line); runs of two lines or more go, and single lines of `long_words` words or more.
+    A run of two lines or more is covered by its pairs of lines, each of which has the earlier place too, and a repeated pair
+    is a run; so the pairs give the lines of all maximal runs exactly, wherever their neighbours differ. The first place of a
+    line always stays. Rows, nulls and clashing names are treated as in dedup_lines.
+    """
+    lines = F.explode(F.when(F.col("n") == 2, F.array(F.col("i"), F.col("i") + 1)).otherwise(F.array("i")))
+    gone = repeated_windows(docs, long_words).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), lines.alias("__i")).groupBy("__d", "__h").agg(F.collect_set("__i").alias("__gone"))
+    joined = docs.withColumn("__t", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")) & F.col("text").isNotNull(), "left")
+    touched = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n")))
+    left = touched.withColumn("__left", F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))))
+    own = {
+        "text_before": F.col("text"),
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1),
+        "removed_lines": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")),
+    }
+    clean = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__left", lambda i: F.get("__lines", i)), "\n"))
+    return left.select(*(clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), *(e.alias(c) for c, e in own.items() if c not in docs.columns))
+
+
 def chunks_sql(divisor: int, long_words: int, docs: str = "documents") -> str:
     """The same in DuckDB's SQL: doc_id, n_lines, n_removed, removed_lines, kept_bytes, kept_md5. doc_id must be unique."""
     return f"""

@@ -104,6 +104,53 @@ def test_line_chunks_edges(spark):
     assert line_chunks.dedup_lines(table.limit(0)).count() == 0
 
 
+def brute_runs(rows, long_words=50):
+    """Every maximal run of lines that starts at an earlier place too, by comparison with all earlier places."""
+    texts = [(d, t.split("\n")) for d, t in sorted(r for r in rows if r[1] is not None)]
+    out = {}
+    for at, (doc, own) in enumerate(texts):
+        gone = set()
+        for i in range(len(own)):
+            best = 0
+            for other, (_, lines) in enumerate(texts[: at + 1]):
+                for j in range(len(lines) if other < at else i):
+                    n = 0
+                    while i + n < len(own) and j + n < len(lines) and own[i + n] == lines[j + n]:
+                        n += 1
+                    best = max(best, n)
+            if best >= 2 or best and len([w for w in re.split(r"[\x20\x09-\x0D]+", own[i]) if w]) >= long_words:
+                gone |= set(range(i, i + best))
+        out[doc] = "\n".join(line for k, line in enumerate(own) if k not in gone)
+    return out
+
+
+def test_line_runs_equal_brute_force(spark):
+    rng = random.Random(4)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 2, 5, 60]))) for _ in range(25)]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 10)))) for k in range(30)] + [(90, ""), (91, "\n\n\n"), (92, None)]
+    table = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n_lines string")
+    got = line_chunks.dedup_runs(table)
+    assert got.columns == ["doc_id", "text", "n_lines", "text_before", "removed_lines"]
+    assert {r.doc_id: r.text for r in got.collect()} == brute_runs(rows) | {92: None}
+    assert line_chunks.dedup_runs(table.limit(0)).count() == 0
+
+
+def test_pipeline_removes_planted_passages_of_several_lines(spark):
+    """Passages of 60 words or more in lines under 50 words, between lines that no other document has."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    passages = ["\n".join(line(n) for _ in range(m)) for m, n in ((2, 30), (3, 20), (5, 12), (20, 12))]
+    own = [(line(8), line(9)) for _ in range(40)]
+    rows = [(k, f"{a}\n{passages[k % 4]}\n{b}") for k, (a, b) in enumerate(own)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.remove_repeated_chunks(spark, docs, "").collect()}
+    for (d, text), (a, b) in zip(rows, own):
+        want = text if d < 4 else f"{a}\n{b}"
+        assert got[d] == (want, len(want))
+
+
 def brute_base(text):
     w, found = words(text), []
     for phrase, label in {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}.items():
