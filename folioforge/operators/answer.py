@@ -12,17 +12,17 @@ SELECTION = "sections array<struct<title:string,items:array<struct<sourceId:doub
 MAX_SECTIONS, MAX_ITEMS, MAX_EXCERPT = 4, 6, 1400
 
 
-def numbered_union(amendments: DataFrame, base: DataFrame, order: str = "rank") -> DataFrame:
-    """Amendments before base, each in order, with source_id from 1. Both hold one query's top k."""
+def numbered_union(amendments: DataFrame, base: DataFrame, order: str = "rank", per: tuple[str, ...] = ()) -> DataFrame:
+    """Amendments before base, each in order, with source_id from 1 for each query (`per`); without it both hold one query's top k."""
     both = amendments.withColumn("__src", F.lit(0)).unionByName(base.withColumn("__src", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("source_id", F.row_number().over(Window.orderBy("__src", order))).drop("__src")
+    return both.withColumn("source_id", F.row_number().over(Window.partitionBy(*per).orderBy("__src", order))).drop("__src")
 
 
-def distinct_refs(refs: DataFrame, chunk_id: str = "id", path: str = "source_path", order: str = "rank") -> DataFrame:
-    """The first of each id (of path:start-end where the id is blank), numbered anew from 1."""
+def distinct_refs(refs: DataFrame, chunk_id: str = "id", path: str = "source_path", order: str = "rank", per: tuple[str, ...] = ()) -> DataFrame:
+    """The first of each id (of path:start-end where the id is blank), numbered anew from 1, for each query (`per`)."""
     key = F.when(T.is_blank(F.col(chunk_id)), F.concat(F.col(path), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))).otherwise(F.col(chunk_id))
-    first = refs.withColumn("__key", key).withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(order))).where("__n = 1")
-    return first.withColumn("source_id", F.row_number().over(Window.orderBy(order))).drop("__key", "__n")
+    first = refs.withColumn("__key", key).withColumn("__n", F.row_number().over(Window.partitionBy(*per, "__key").orderBy(order))).where("__n = 1")
+    return first.withColumn("source_id", F.row_number().over(Window.partitionBy(*per).orderBy(order))).drop("__key", "__n")
 
 
 def context(sources: DataFrame, per: tuple[str, ...] = (), order: str = "source_id") -> DataFrame:

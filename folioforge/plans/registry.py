@@ -137,6 +137,29 @@ def amendment_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.distinct_refs(both.withColumn("rank", F.col("source_id")).drop("source_id")).select("id", "source_path", "codebook_id", "source_id")
 
 
+def amendment_refs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of all documents, forty for each query q, deduped and numbered within it."""
+    docs = D.derived(spark, sf_dir, D.CORPUS).select(F.floor(F.col("doc_id") / F.lit(40)).alias("q"), F.when(F.col("doc_id") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("c-"), (F.col("doc_id") % 7).cast("string"))).alias("id"), F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("source_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.col("doc_id").alias("rank"), "codebook_id")
+    both = answer.numbered_union(docs.where("codebook_id = 'base-amend'"), docs.where("codebook_id = 'base'"), per=("q",))
+    return answer.distinct_refs(both.withColumn("rank", F.col("source_id")).drop("source_id"), per=("q",)).select("q", "id", "source_path", "codebook_id", "source_id")
+
+
+def context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of whole texts, ten documents for each query q."""
+    docs = D.derived(spark, sf_dir, D.CORPUS).withColumn("q", F.floor(F.col("doc_id") / F.lit(10)))
+    src = docs.select("q", (F.col("doc_id") % 10 + 1).alias("source_id"), F.col("lang").alias("section_label"), "source_path", F.lit(1).alias("start_line"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("end_line"), F.col("text").alias("content"))
+    return answer.context(src, per=("q",))
+
+
+def quote_check_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An excerpt of each document's last 30 characters against its whole text; null, empty and short texts too."""
+    docs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    chunks = docs.select("id", F.lit(1).alias("source_id"), "content")
+    items = F.array(F.struct(F.lit(1).alias("sourceId"), F.expr("right(coalesce(content, ''), 30)").alias("excerpt")))
+    raw = docs.select("id", F.to_json(F.struct(F.array(F.struct(F.lit("T").alias("title"), items.alias("items"))).alias("sections"))).alias("raw"))
+    return answer.checked_selection(raw, chunks).select("id", "reason", answer.organized(F.col("sections")).isNotNull().alias("kept"))
+
+
 ANSWERS = """SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'I cannot answer that from the provided code sections.' WHEN 1 THEN concat('The rule says "', lang, ' text" [source 1, lines 2-', cast(doc_id AS string), '].')
   WHEN 2 THEN concat('One "abc" [Source 2, lines 1–3]. Two is bare ', source, '.') WHEN 3 THEN concat('A "quoted text" [source 3, lines 4-5]', chr(10), chr(10), 'B "more text here" [source 1, lines 1-2]') WHEN 4 THEN concat('"ab" [source 1, lines 1-2] ', lang) ELSE concat('She said "stop. now" [source 1, lines 1-2] ', source) END AS answer FROM documents"""
 
@@ -276,6 +299,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         vector_topk, vector_topk_per_corpus, search_preview, registry_labels, doc_lines, greedy_chunks, chunk_ids, header_parse, filename_meta, section_split, item_split, op_classify, item_validate, extract_report, amendment_info,
         context_build, amendment_refs, answer_check, quote_check, code_like, session_window, effective_query, structure_extract, structure_match, page_median, page_percentile, line_build, rulings, table_grid, label_bind, section_stack, table_continuation, page_columns, turned_tables,
+        amendment_refs_whole, context_whole, quote_check_whole,
     )
     return {q.__name__: q for q in own} | {f"amendment_override_{k}": override(k) for k in ("normal", "empty", "null")}
 
