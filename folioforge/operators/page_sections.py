@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import page_text as X
@@ -55,9 +55,35 @@ def section_stack(lines: DataFrame) -> DataFrame:
     return marked.groupBy("doc").applyInPandas(fold, SECTIONS)
 
 
+def fallback_pages(lines: DataFrame, sections: DataFrame) -> DataFrame:
+    """doc, page, file_name, content of each page of the documents that have no row in sections."""
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    pages = lines.join(sections.select("doc").distinct(), "doc", "left_anti").groupBy("doc", "page").agg(F.array_join(F.transform(rows, lambda r: F.coalesce(r["text"], F.lit(""))), "\n").alias("body"))
+    head = F.concat(F.lit("PDF_PAGE: "), F.col("page").cast("string"), F.lit("\nMODE: UNSECTIONED_FALLBACK\n--------------------------------\n"))
+    return pages.select("doc", "page", F.format_string("page_%04d.txt", F.col("page").cast("int")).alias("file_name"), F.concat(head, F.col("body"), F.lit("\n")).alias("content"))
+
+
 TABLES = "doc string, table_id string, start_page int, end_page int, columns array<string>, rows array<array<string>>, error string"
 
 
+def resolve_table_ids(tables: DataFrame) -> DataFrame:
+    """tables (doc, page, idx, table_id, continued, ...) with ids resolved, and continued_from and warning.
+
+    A table without an id gets UNLABELED_P<page>_T<idx>; one marked as continued gets the last id that its base (the id
+    without its bracketed end) had before, or keeps its own with a warning.
+    """
+    named = F.coalesce("table_id", F.concat(F.lit("UNLABELED_P"), F.col("page").cast("string"), F.lit("_T"), F.col("idx").cast("string")))
+    goes_on = F.coalesce("continued", F.lit(False))
+    before = Window.partitionBy("doc", "__base").orderBy("page", "idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tables.withColumn("__id", named).withColumn("__base", F.trim(F.regexp_replace("__id", r"\(.*\)$", "")))
+    rows = rows.withColumn("__last", F.last(F.when(~goes_on, F.col("__id")), ignorenulls=True).over(before))
+    place = F.concat(F.lit(" PDF_PAGE="), F.col("page").cast("string"))
+    missing = F.when(F.col("table_id").isNull(), F.concat(F.lit("TABLE_LABEL_MISSING"), place))
+    orphan = F.when(goes_on & F.col("__last").isNull(), F.concat(F.lit("TABLE_CONTINUED_WITHOUT_PRIOR"), place, F.lit(" table_id="), F.col("__id")))
+    rows = rows.withColumn("continued_from", F.when(goes_on, F.col("__last"))).withColumn("warning", F.nullif(F.concat_ws("\n", missing, orphan), F.lit("")))
+    return rows.withColumn("table_id", F.coalesce("continued_from", "__id")).drop("__id", "__base", "__last")
+
+
 def continue_tables(tables: DataFrame) -> DataFrame:
     """Tables merged over pages. Input: doc, page, idx, table_id, columns, rows, touches_bottom, rotation, continued.
 

@@ -113,3 +113,27 @@ def test_whole_inputs(spark, small_dir):
     assert all((text or "") in contexts[d // 10] for d, text in docs)
     checked = {r.id: (r.reason, r.kept) for r in QUERIES["quote_check_whole"](spark, small_dir).collect()}
     assert checked == {d: (None, True) if (text or "")[-30:].strip() else ("empty_excerpt", False) for d, text in docs}
+
+
+def test_unlabelled_and_continued_tables(spark):
+    cells = (["a", "b"], [["1", "2"]])
+    given = [("d", 1, 1, None, False, False), ("d", 1, 2, None, False, False), ("d", 2, 1, "R301.2(1)", True, False), ("d", 3, 1, "R301.2", False, True), ("d", 4, 1, "R9.1", False, True)]
+    df = spark.createDataFrame([(d, p, i, t, *cells, bottom, 0, cont) for d, p, i, t, bottom, cont in given], "doc string, page int, idx int, table_id string, columns array<string>, rows array<array<string>>, touches_bottom boolean, rotation int, continued boolean")
+    ids = page_sections.resolve_table_ids(df)
+    assert [(r.table_id, r.continued_from, r.warning) for r in ids.orderBy("page", "idx").collect()] == [
+        ("UNLABELED_P1_T1", None, "TABLE_LABEL_MISSING PDF_PAGE=1"),
+        ("UNLABELED_P1_T2", None, "TABLE_LABEL_MISSING PDF_PAGE=1"),
+        ("R301.2(1)", None, None),
+        ("R301.2(1)", "R301.2(1)", None),
+        ("R9.1", None, "TABLE_CONTINUED_WITHOUT_PRIOR PDF_PAGE=4 table_id=R9.1"),
+    ]
+    assert [r.error for r in page_sections.continue_tables(df).collect()] == ["RULE=TABLE_CONTINUATION PDF_PAGE=1 detail=a closed table comes again"]
+    done = {r.table_id: (r.start_page, r.end_page, len(r.rows), r.error) for r in page_sections.continue_tables(ids).collect()}
+    assert done == {"UNLABELED_P1_T1": (1, 1, 1, None), "UNLABELED_P1_T2": (1, 1, 1, None), "R301.2(1)": (2, 3, 2, None), "R9.1": (4, 4, 1, None)}
+
+
+def test_fallback_pages(spark):
+    lines = spark.createDataFrame([("d", 1, 1, "R101 One"), ("e", 2, 2, "b"), ("e", 2, 1, "a"), ("e", 12, 1, "c")], "doc string, page int, line_no int, text string")
+    got = page_sections.fallback_pages(lines, page_sections.section_stack(lines)).orderBy("page").collect()
+    head = "MODE: UNSECTIONED_FALLBACK\n--------------------------------\n"
+    assert [tuple(r) for r in got] == [("e", 2, "page_0002.txt", f"PDF_PAGE: 2\n{head}a\nb\n"), ("e", 12, "page_0012.txt", f"PDF_PAGE: 12\n{head}c\n")]
