@@ -14,9 +14,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a folder in the warehouse where the cluster names none."""
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
+
+    Where none is named, a session of one machine gets one in its warehouse; on a cluster that is an error, as each
+    machine would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -28,10 +35,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return stored_at(df, new_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -44,12 +59,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def arrow_sized(spark: SparkSession, size: int = 32 << 20) -> None:
-    """Bound the Arrow batches that Python workers get by bytes, so that very long texts don't pile up in one batch."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
 _held: dict = {}
 
 

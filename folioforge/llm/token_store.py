@@ -15,7 +15,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_sized
 from .pieces import encoder, sliced
 
 #: Writer settings: bytes of a row group and of a page, rows of a page, dictionary pages, page checksums.
@@ -28,7 +27,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, ke
     Null texts count as empty and have the end id alone. Rows with equal keys stand next to each other, ordered by their
     text's hash; null keys come first. Columns besides key and text are ignored. An empty table makes an empty one.
     """
-    arrow_sized(docs.sparkSession)
     src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = src.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
 
