@@ -1,8 +1,9 @@
 """Language ID by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. An n-gram's vector binds its letters' vectors, each rotated by its place; a
-text's vector bundles (sums) those of its n-grams; a language's prototype bundles the training texts of that language.
-A text has the language whose prototype has the highest cosine with its vector.
+Each letter has a random vector of +1 and -1, made from its code point alone, so every letter of every script has its own.
+An n-gram's vector binds its letters' vectors, each rotated by its place; a text's vector bundles (sums) those of its
+n-grams; a language's prototype bundles the training texts of that language. A text has the language whose prototype has
+the highest cosine with its vector; of equal ones the first by name.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_sized, sole_holder
+from .common import sole_holder
+from .pieces import sliced
 
-DIM, GRAM, LETTERS = 512, 3, 96
-SPACE, OTHER = 0, 1
+DIM, GRAM = 512, 3
+#: Slots of the table of n-gram vectors that a worker keeps; a power of two.
+SLOTS = 1 << 16
+#: Bits of a code point in an n-gram's key.
+POINT = 21
 
 
 @lru_cache(maxsize=1)
@@ -37,62 +42,71 @@ def folded(text: str) -> np.ndarray:
     return points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
 
 
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the text's distinct n-grams (their code points in a row) and how often each stands there."""
+    points = folded(text).astype(np.int64)
+    if len(points) < GRAM:
+        return points[:0], points[:0]
+    n = len(points) - GRAM + 1
+    key = points[:n].copy()
+    for k in range(1, GRAM):
+        key = key << POINT | points[k : n + k]
+    return np.unique(key, return_counts=True)
+
+
+def letter_bits(points: np.ndarray, seed: int) -> np.ndarray:
+    """DIM bits for each code point: a counter mixed by multiplications and shifts (splitmix64), 64 bits at a time."""
+    z = (points.astype(np.uint64)[:, None] * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    return np.unpackbits(z.astype(">u8").view(np.uint8), axis=1)
+
+
 class Profiles:
-    """Prototypes and the letters they know; other letters share one vector."""
-
-    def __init__(self, letters: list[int], langs: list[str], seed: int = 20):
-        self.letters, self.langs, self.seed = letters, langs, seed
-        rng = np.random.default_rng(seed)
-        base = rng.choice(np.array([-1, 1], dtype=np.int8), size=(LETTERS, DIM))
-        self.place = [np.roll(base, k, axis=1) for k in range(GRAM)]
-        self.code = np.full(0x110000, OTHER, dtype=np.int64)
-        self.code[0] = SPACE
-        self.code[letters] = np.arange(len(letters)) + 2
-        self.row = np.full(LETTERS**GRAM, -1, dtype=np.int32)
-        self.vectors = np.empty((0, DIM), dtype=np.int8)
-        self.used = 0
-        self.prototypes = np.zeros((len(langs), DIM))
-
-    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of the text and how often each stands there."""
-        codes = self.code[folded(text)]
-        if len(codes) < GRAM:
-            return codes[:0], codes[:0]
-        key = np.zeros(len(codes) - GRAM + 1, dtype=np.int64)
-        for k in range(GRAM):
-            key = key * LETTERS + codes[k : len(codes) - GRAM + 1 + k]
-        return np.unique(key, return_counts=True)
-
-    def bound(self, grams: np.ndarray) -> np.ndarray:
-        """Their vectors; each is made once."""
-        rows = self.row[grams]
-        new = grams[rows < 0]
-        if len(new):
-            made, rest = np.ones((len(new), DIM), dtype=np.int8), new
-            for k in range(GRAM - 1, -1, -1):
-                rest, letter = np.divmod(rest, LETTERS)
-                made *= self.place[k][letter]
-            if self.used + len(new) > len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.empty((max(len(new), len(self.vectors), 4096), DIM), dtype=np.int8)])
-            self.vectors[self.used : self.used + len(new)] = made
-            self.row[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-            rows = self.row[grams]
-        return self.vectors[rows]
-
-    def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        total = np.zeros(DIM, dtype=np.float32)
-        for lo in range(0, len(grams), 8192):
-            total += counts[lo : lo + 8192].astype(np.float32) @ self.bound(grams[lo : lo + 8192]).astype(np.float32)
+    """Languages and their prototypes; each a unit vector."""
+
+    def __init__(self, langs: list[str], prototypes: np.ndarray | None = None, seed: int = 20):
+        self.langs, self.seed = langs, seed
+        self.prototypes = np.zeros((len(langs), DIM)) if prototypes is None else prototypes
+        self.keys = np.full(SLOTS, -1, dtype=np.int64)
+        self.vectors = np.zeros((SLOTS, DIM), dtype=np.int8)
+
+    def made(self, keys: np.ndarray) -> np.ndarray:
+        """The n-grams' vectors: signs multiply as bits are added without carry."""
+        bits = np.zeros((len(keys), DIM), dtype=np.uint8)
+        for place in range(GRAM):
+            bits ^= np.roll(letter_bits(keys >> POINT * (GRAM - 1 - place) & (1 << POINT) - 1, self.seed), place, axis=1)
+        return 1 - 2 * bits.astype(np.int8)
+
+    def bound(self, keys: np.ndarray) -> np.ndarray:
+        """The same from the table, where each n-gram has one slot; another one in it gives way."""
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        missing = np.flatnonzero(self.keys[slot] != keys)
+        if not len(missing):
+            return self.vectors[slot]
+        new = self.made(keys[missing])
+        self.keys[slot[missing]], self.vectors[slot[missing]] = keys[missing], new
+        out = self.vectors[slot]
+        out[missing] = new
+        return out
+
+    def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sum of the n-grams' vectors, exact in whole numbers."""
+        total = np.zeros(DIM)
+        for lo in range(0, len(keys), 8192):
+            some = counts[lo : lo + 8192]
+            kind = np.float32 if some.sum() < 1 << 24 else np.float64
+            total += some.astype(kind) @ self.bound(keys[lo : lo + 8192]).astype(kind)
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its cosine, 0 to 1; und and 0 without letters or languages."""
-        grams, counts = self.grams(text or "")
-        if not len(grams) or not self.langs:
+        keys, counts = grams(text or "")
+        if not len(keys) or not self.langs:
             return "und", 0.0
-        own = self.bundle(grams, counts)
-        norm = float(np.sqrt((own.astype(np.float64) ** 2).sum()))
+        own = self.bundle(keys, counts)
+        norm = float(np.sqrt((own**2).sum()))
         cosines = self.prototypes @ own / norm if norm else np.zeros(len(self.langs))
         best = int(np.argmax(cosines))
         return self.langs[best], float(min(1.0, max(0.0, cosines[best])))
@@ -102,70 +116,65 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, most_rows: int = 20_000) -> Profiles:
-    """Prototypes from text and lang of the rows of docs where both are there, as many as most_rows on average.
+def train(docs: DataFrame, most_rows: int = 5_000, seed: int = 20) -> Profiles:
+    """Prototypes from text and lang of the rows of docs where both are there, about most_rows of each language at most.
 
-    The bound is on the sample the classifier is fitted on: rows are taken by a hash of doc_id and text, all of them while
-    there are no more than most_rows. What comes to the driver is a count for each language and n-gram.
+    That bound is on the sample the classifier is fitted on: a language's rows are drawn by a 63-bit hash of doc_id and
+    text, all of them while it has no more than most_rows, so rare languages are learned as well as frequent ones.
+    Without labelled rows there are no languages; labelled rows of which none is drawn are an error. The driver gets a row
+    for each language and DIM sums for each language, whatever the rows; sums of whole numbers don't depend on their order.
     """
-    labelled = docs.where("text is not null and lang is not null").select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("draw"))
-    n = docs.where("text is not null and lang is not null").count()
-    sample = labelled if n <= most_rows else labelled.where(F.col("draw") < int(1_000_000 * most_rows / n))
-
-    def letters(batches):
-        sole_holder("language_id")
-        found: dict[int, int] = {}
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for c, k in zip(*(v.tolist() for v in np.unique(folded(text), return_counts=True))):
-                    found[c] = found.get(c, 0) + k
-        found.pop(0, None)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["c", "n"])
-
-    known = [r.c for r in sample.select("text").mapInArrow(letters, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS - 2).collect()]
+    spark = docs.sparkSession
+    draw = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
+    labelled = docs.where("text is not null and lang is not null").select(F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"), draw.alias("draw"))
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Profiles([], seed=seed)
+    cuts = [(lang, (1 << 63) - 1 if n <= most_rows else (1 << 63) * most_rows // n) for lang, n in sizes.items()]
+    table = F.broadcast(spark.createDataFrame(cuts, "cut_lang string, cut long"))
+    sample = labelled.join(table, F.col("lang") == F.col("cut_lang")).where("draw <= cut").select("text", "lang")
 
     def counted(batches):
-        model, found = Profiles(known, []), {}
-        for batch in batches:
+        sole_holder("language_id", MODELS.clear)
+        model, found = Profiles([], seed=seed), {}
+        for batch in sliced(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                own = found.setdefault(lang, np.zeros(LETTERS**GRAM, dtype=np.int64))
-                grams, counts = model.grams(text)
-                own[grams] += counts
+                keys, counts = grams(text)
+                found[lang] = found.get(lang, 0) + model.bundle(keys, counts)
         for lang, own in found.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM), pa.int64()), pa.array(own.astype(np.int64))], names=["lang", "place", "n"])
 
-    rows = sample.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    model = Profiles(known, sorted(rows["lang"].unique()) if len(rows) else [])
-    for k, lang in enumerate(model.langs):
-        own = rows[rows["lang"] == lang].sort_values("gram")
-        total = model.bundle(own["gram"].to_numpy(), own["n"].to_numpy()).astype(np.float64)
-        size = np.sqrt((total**2).sum())
-        model.prototypes[k] = total / size if size else total
-    model.row[:], model.vectors, model.used = -1, np.empty((0, DIM), dtype=np.int8), 0
-    return model
+    rows = sample.mapInArrow(counted, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).collect()
+    if not rows:
+        raise RuntimeError(f"{sum(sizes.values())} labelled rows, but none was drawn")
+    langs = sorted({r.lang for r in rows})
+    sums = np.zeros((len(langs), DIM))
+    for r in rows:
+        sums[langs.index(r.lang), r.place] = r.n
+    norms = np.sqrt((sums**2).sum(axis=1, keepdims=True))
+    return Profiles(langs, np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0), seed)
 
 
-MODELS: dict[int, Profiles] = {}
+MODELS: dict[tuple, Profiles] = {}
 
 
 def predicted(docs: DataFrame, model: Profiles, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred and score for every row of docs: its text alone is looked at.
 
-    Null texts and texts without letters are und with score 0. Rows are independent; an empty table gives none.
+    Null texts and texts without letters are und with score 0, and so is every text where the model has no languages. A
+    text's cost and memory follow its length; very long ones are counted whole. Rows are independent; repeated rows repeat
+    their result, an empty table gives none. Columns of docs named lang_pred or score can be kept and come first.
     """
-    arrow_sized(docs.sparkSession)
-    facts = (model.letters, model.langs, model.seed, model.prototypes)
-    key = zlib.crc32(model.prototypes.tobytes()) ^ hash(tuple(model.letters))
+    langs, prototypes, seed = model.langs, model.prototypes, model.seed
+    key = (tuple(langs), seed, zlib.crc32(prototypes.tobytes()))
 
     def run(batches):
-        sole_holder("language_id")
+        sole_holder("language_id", MODELS.clear)
         if key not in MODELS:
             MODELS.clear()
-            MODELS[key] = Profiles(*facts[:3])
-            MODELS[key].prototypes = facts[3]
+            MODELS[key] = Profiles(langs, prototypes, seed)
         own = MODELS[key]
-        for batch in batches:
+        for batch in sliced(batches, column="__text"):
             found = [own.predict(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"])
 
