@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_sized
 from .pieces import sliced
 
 BANDS = ((1, 5), (6, 63))
@@ -220,13 +219,18 @@ def scan_array(raw: bytes, block: np.ndarray, a: int, b: int, high: int, low: in
         v = np.frombuffer(raw, dtype=np.uint8).reshape(n, width).astype(block.dtype)
         block[:, a : b + 1] = np.where(v < 64, v - 127, v) << low
         return True
-    if a and high and symbols == RUN_SYMBOLS and n <= RUN_MOST and (block[:, a : b + 1] != 0).all():
-        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8))
-        k = n.bit_length() - 1
-        if int.from_bytes(np.packbits(bits[:4]).tobytes(), "big") >> 4 == k:
-            own, more = block[:, a : b + 1], bits[4 + k : 4 + k + n * width].reshape(n, width).astype(block.dtype) << low
-            own += np.where(own < 0, -more, more)
-            return True
+    if a and high and symbols == RUN_SYMBOLS and (block[:, a : b + 1] != 0).all():
+        bits, at, parts = np.unpackbits(np.frombuffer(raw, dtype=np.uint8)), 0, []
+        for lo in range(0, n, RUN_MOST):
+            run = min(RUN_MOST, n - lo)
+            k = run.bit_length() - 1
+            if bits[at : at + 4] @ (8, 4, 2, 1) != k or bits[at + 4 : at + 4 + k] @ (1 << np.arange(k - 1, -1, -1)) != run - (1 << k):
+                return False
+            at += 4 + k + run * width
+            parts.append(bits[at - run * width : at])
+        own, more = block[:, a : b + 1], np.concatenate(parts).reshape(n, width).astype(block.dtype) << low
+        own += np.where(own < 0, -more, more)
+        return True
     return False
 
 
@@ -332,9 +336,9 @@ def rgb(image: dict) -> np.ndarray:
 def media_column(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text (null: empty) with zero bytes up to a positive multiple of 64, as a JPEG.
 
-    Rows are independent; repeated rows give equal media, an empty table none; other columns are ignored.
+    Rows are independent; repeated rows give equal media, an empty table none; other columns are ignored. A long text is one
+    image of up to 65,535 x 65,535 samples, about 2.8 GB of payload; memory follows its length.
     """
-    arrow_sized(docs.sparkSession)
 
     def run(batches):
         for some in sliced(batches, size=4 << 20):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, licenses, line_chunks, packing, prefix_counts, progressive_jpeg, secret_forest, simhash, token_store
-from .common import new_path
+from .common import new_path, stored
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = progressive_jpeg.tensor_column(progressive_jpeg.media_column(documents(spark, sf_dir)))
-    return stored.select(
+    media = stored(progressive_jpeg.media_column(documents(spark, sf_dir)), "media")
+    return progressive_jpeg.tensor_column(media).select(
         "doc_id",
         "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
