@@ -5,7 +5,10 @@ bits are equal in all but k of the blocks that the bits are dealt to, so they sh
 blocks. The fingerprints of a key are compared through a table of their distances to reference fingerprints: by the
 triangle inequality a pair whose distances to any of those differ by more than k can't be linked, and what is left is
 verified on the bits. A key gives the edges of a spanning forest of its links, never all pairs: members are first tied
-to hubs, and then only members of different trees are compared. Components follow from the edges by alternating stars.
+to hubs, and then only members of different trees are compared. A key with more than HELD fingerprints is split: its
+members get keys of the bits that it leaves open, exact by the same argument, and what is still beyond HELD is dealt to
+blocks, each pair of which is a task of its own. So no task holds more than two blocks, whatever a key has. Components
+follow from the edges by alternating stars.
 """
 
 from __future__ import annotations
@@ -18,10 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_sized, stored
+from .common import new_path, removed, small, stored, stored_at
+from .pieces import sliced
 
 BITS = 64
 PIVOTS = 32
+#: Fingerprints of a key that one task takes.
+HELD = 8192
 #: Members of a key that are compared with the rest of the key at once.
 BLOCK = 2048
 
@@ -100,10 +106,9 @@ def forest(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
 
 def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and fp (a signed long of the 64 bits) for each row of docs."""
-    arrow_sized(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["key", "fp"])
 
@@ -111,19 +116,63 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", key: str =
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
 
 
-def block_keys(fp: Column, k: int, blocks: int) -> Column:
-    """One long for each choice of blocks - k blocks: the choice's number and the bits of its blocks, hashed."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), blocks - k):
-        mask = sum(((1 << edges[c + 1]) - (1 << edges[c])) for c in chosen)
-        masks.append(mask - (1 << BITS) if mask >> (BITS - 1) else mask)
-    return F.array(*(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+def signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def block_masks(open_bits: list[int], k: int, blocks: int) -> list[int]:
+    """For each choice of blocks - k of the blocks that open_bits are dealt to, the bits of the chosen ones."""
+    edges = [len(open_bits) * i // blocks for i in range(blocks + 1)]
+    whole = [sum(1 << b for b in open_bits[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+    return [sum(whole[c] for c in chosen) for chosen in combinations(range(blocks), blocks - k)]
+
+
+def block_keys(fp: Column, masks: list[int], *before: Column) -> Column:
+    """One (key, choice) for each mask: a hash of the choice's number and the bits under it, behind what `before` has."""
+    return F.array(*(F.struct(F.xxhash64(*before, F.lit(i), fp.bitwiseAND(F.lit(signed(m)))).alias("key"), F.lit(i).alias("choice")) for i, m in enumerate(masks)))
+
+
+def rekeyed(rows: DataFrame, masks: list[int], k: int, blocks: int) -> DataFrame:
+    """fp, key of the rows (fp, key, choice) by the bits that their choice leaves open."""
+    by_choice = F.array().cast("array<struct<key:long,choice:int>>")
+    for i, mask in enumerate(masks):
+        free = [b for b in range(BITS) if not mask >> b & 1]
+        by_choice = F.when(F.col("choice") == i, block_keys(F.col("fp"), block_masks(free, k, blocks), F.col("key"))).otherwise(by_choice)
+    return rows.select("fp", F.explode(by_choice).alias("k")).select("fp", "k.key")
+
+
+def large_keys(rows: DataFrame, held: int) -> DataFrame | None:
+    """(big, n) of the keys with more than `held` rows; None without any."""
+    found = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > held).select(F.col("key").alias("big"), "n"), "large-keys")
+    return found if found.limit(1).count() else None
 
 
-def edges_of(fps: DataFrame, k: int, blocks: int) -> DataFrame:
+def edges_of(fps: DataFrame, k: int, blocks: int, held: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints: for each key, a spanning forest of its links."""
-    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), k, blocks)).alias("key")).repartition("key").sortWithinPartitions("key")
+    held = held or HELD
+    masks = block_masks(list(range(BITS)), k, blocks)
+    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), masks)).alias("k")).select("fp", "k.key", "k.choice")
+    big = large_keys(keyed, held)
+    if big is None:
+        return forests(keyed.select("fp", "key"), k)
+    big = small(big)
+    few = keyed.join(big, F.col("key") == F.col("big"), "left_anti").select("fp", "key")
+    split = rekeyed(keyed.join(big, F.col("key") == F.col("big"), "left_semi"), masks, k, blocks)
+    still = large_keys(split, held)
+    if still is None:
+        return forests(few.unionByName(split), k)
+    still = small(still)
+    few = few.unionByName(split.join(still, F.col("key") == F.col("big"), "left_anti").select("fp", "key"))
+    # each member meets its own block and every other block of its key in one task each
+    of = split.join(still, F.col("key") == F.col("big")).withColumn("m", F.ceil(F.col("n") * 2 / held).cast("int")).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda y: F.struct(F.least("x", y).alias("lo"), F.greatest("x", y).alias("hi")))
+    dealt = of.select("fp", "key", F.explode(pairs).alias("p")).select("fp", F.xxhash64("key", "p.lo", "p.hi").alias("key"))
+    return forests(few, k).unionByName(forests(dealt, k)).distinct()
+
+
+def forests(keyed: DataFrame, k: int) -> DataFrame:
+    """Distinct edges (a, b) of the spanning forests of each key's links. keyed: fp, key."""
+    keyed = keyed.repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         held_key, held = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
@@ -154,7 +203,8 @@ def edges_of(fps: DataFrame, k: int, blocks: int) -> DataFrame:
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node reachable. Large and small stars in turn."""
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "stars")
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "stars")
+    now = stored_at(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), path)
     seen = None
     for _ in range(most):
         both = now.union(now.select("b", "a"))
@@ -163,7 +213,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = large.where("a != b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         after = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        now = stored(after, "stars")
+        last, path = path, new_path(spark, "stars")
+        now = stored_at(after, path)
+        removed(spark, last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
@@ -171,16 +223,17 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components not found in {most} rounds")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4, blocks: int = 7, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, k: int = 4, blocks: int = 7, text: str = "text", key: str = "doc_id", held: int | None = None) -> DataFrame:
     """For each row of docs: key, fp, component (the smallest key reachable by links of at most k bits).
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows with equal keys count as one document
     of several texts only if their fingerprints link; a null key takes part but is smallest of a group only where the
-    group has no other. An empty table gives none; other columns are ignored.
+    group has no other. An empty table gives none; other columns are ignored, whatever they are called. A text's work and
+    memory follow its length. held: fingerprints of a key in one task (HELD); components don't depend on it.
     """
     prints = stored(fingerprints(docs, words, text, key), "fingerprints")
     groups = stored(prints.groupBy("fp").agg(F.min("key").alias("least")), "distinct-prints")
-    roots = components(edges_of(groups.select("fp"), k, blocks))
+    roots = components(edges_of(groups.select("fp"), k, blocks, held))
     joined = groups.join(roots, groups.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
     named = joined.groupBy("root").agg(F.min("least").alias("component"))
     # copies and near copies first become a small table of fingerprints with their component

@@ -82,3 +82,27 @@ def test_forest_connects_what_links_connect(seed):
         root[find(int(own[a]))] = find(int(own[b]))
     whole = brute_groups({int(f) for f in own})
     assert len({find(f) for f in whole}) == len(set(whole.values()))
+
+
+@pytest.mark.parametrize("held", [4, 60])
+def test_large_keys_are_split_exactly(spark, held):
+    """Fingerprints around a few centres, far more of a key than a task takes."""
+    rng = random.Random(5)
+    fps = {0, (1 << 64) - 1}
+    for c in [rng.getrandbits(64) for _ in range(3)]:
+        for _ in range(150):
+            fps.add(c ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(1, 7))}))
+    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    found = [tuple(v % (1 << 64) for v in r) for r in simhash.edges_of(table, 4, 7, held).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        root[find(a)] = find(b)
+    want = brute_groups(fps)
+    assert {f: min(g for g in fps if find(g) == find(f)) for f in fps} == {f: min(g for g in fps if want[g] == want[f]) for f in fps}
