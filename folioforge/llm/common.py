@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table whose size was counted may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a table of rows of known size may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -54,6 +56,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def broadcast_within(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame | None:
+    """df with a broadcast hint when a count shows that its rows, of row_bytes each at most, stay within limit; else None."""
+    most = limit // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else None
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case and nothing else; lower() is quicker and the same where every character is one byte."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

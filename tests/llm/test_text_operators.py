@@ -37,6 +37,12 @@ def test_equals_sql(spark, small_dir, name):
     same_as_sql(spark, small_dir, name)
 
 
+def test_decontamination_by_shuffles(spark, small_dir, monkeypatch):
+    """The query with nothing broadcast; no exchange carries an array of words."""
+    monkeypatch.setattr(decontamination.contamination, "__defaults__", (10, 2, 0))
+    same_as_sql(spark, small_dir, "op7_decontamination")
+
+
 def test_decontamination_edges(spark):
     item = "a b c d e f g h i j k l"
     docs = [(1, None, 0), (2, "", 0), (3, "x " + item.upper() + " y", 0), (3, "x " + item.upper() + " y", 0), (4, "b c d e f g h i j k", 0), (5, "short ÉQ", 0), (5, "short éq", 0), (None, "a, b. c d e f g h i j " * 2, 0), (7, "a a a a", 0)]
@@ -54,8 +60,9 @@ def test_decontamination_edges(spark):
                         hit |= set(range(s, s + len(win)))
                         found.add(str(i))
         want.append((doc, len(w), len(hit), sorted(found)))
-    got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination(d, b).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    for limit in (64 << 20, 0):  # with broadcast tables, and with shuffles alone
+        got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination(d, b, broadcast_bytes=limit).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
     assert decontamination.contamination(d.limit(0), b).count() == 0
     assert all(r.n_hit == 0 for r in decontamination.contamination(d, b.limit(0)).collect())
     near = decontamination.proximity_matches(d.where("doc_id = 4"), ["c", "k"], 9).collect()
