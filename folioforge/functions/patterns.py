@@ -55,7 +55,8 @@ CHAPTER_ANY = r"(?i)^CHAPTER\s+([A-Z0-9]+)\b"
 TABLE_LABEL = r"(?i)^TABLE\s+([A-Z]{1,3}\d{3,4}(?:\.\d+)*(?:\([0-9A-Z]+\))?)\b\.?\s*(.*)?$"
 AMENDMENT_WORD = r"(?i)\b(?:UTAH|STATE|AMENDED|MODIFIED|AMENDMENTS)\b"
 TRUE_HEADING = r"(?i)^\s*([A-Z]{1,3}\d{3,4}(?:\.\d+){0,6})\b(.*)$"
-SECTION_LINE = r"(?i)^(?!.*(?:\.\s*){3,})\s*(?:SECTION\s+)?([A-Z]{1,3}\d{3,4}(?:\.\d+)*)\b(?:\s+(.*))?$"
+PAGE_SECTION_LINE = r"(?i)^(?!.*(?:\.\s*){3,})\s*(?:SECTION\s+)?([A-Z]{1,3}\d{3,4}(?:\.\d+)*)\b(?:\s+(.*))?$"
+SECTION_TEXT = r"(?i)\b([A-Z]{1,3}\d{3,4}(?:\.\d+)*)\b"
 SECTION_MARKER = r"(?i)^\s*SECTION\s+([A-Z]{1,3}\d{3,4}(?:\.\d+){0,6})\b"
 FOOTNOTE_START = r"^(?:\*|a\.|b\.|c\.|For SI:)"
 LINE_TOLERANCE = 3.0

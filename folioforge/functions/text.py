@@ -84,7 +84,12 @@ def is_item_start(line: Column) -> Column:
 
 
 def source_number(line: Column) -> Column:
-    return F.expr("try_cast(null as bigint)") if line is None else group(line, P.ITEM_NUMBER).try_cast("long")
+    return group(line, P.ITEM_NUMBER).try_cast("long")
+
+
+def lines_of(text: Column) -> Column:
+    """The text's lines, cut at LF and CRLF alone; a lone CR and a form feed are characters like any other."""
+    return F.split(F.coalesce(text, F.lit("")), r"\r?\n", -1)
 
 
 def unix_lines(text: Column, squeeze: bool = False) -> Column:
@@ -165,9 +170,27 @@ def matches_field(target: Column, candidate: Column) -> Column:
     return (t == "") | ((c != "") & F.contains(c, t))
 
 
+def section_label(meta: Column, with_section: bool = False) -> Column:
+    """The first of a chunk's sectionLabel, header and sectionId that is there, and section where asked for."""
+    return F.coalesce(*(F.try_element_at(meta, F.lit(k)) for k in ("sectionLabel", "header", "sectionId", *(["section"] if with_section else []))))
+
+
+def citation(number: Column, start: Column, end: Column) -> Column:
+    return F.concat(F.lit("[source "), number.cast("string"), F.lit(", lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit("]"))
+
+
 def display_label(label: Column, path: Column, number: Column) -> Column:
     return F.coalesce(F.nullif(label, F.lit("")), F.nullif(path, F.lit("")), F.concat(F.lit("Source "), number.cast("string")))
 
 
 def preview(content: Column, length: int = 500) -> Column:
-    return F.substring(content, 1, length)
+    """The first `length` UTF-16 units; a character of two units that would be cut goes."""
+    head = F.substring(content, 1, length)
+    zero = F.struct(F.lit(0).alias("units"), F.lit(0).alias("chars"))
+
+    def add(s, c):
+        units = s["units"] + F.when(F.octet_length(c) == 4, F.lit(2)).otherwise(F.lit(1))
+        return F.struct(units.alias("units"), (s["chars"] + (units <= length).cast("int")).alias("chars"))
+
+    fits = F.aggregate(F.split(head, ""), zero, add)["chars"]
+    return F.when(utf16_length(head) <= length, head).otherwise(F.substring(head, F.lit(1), fits))

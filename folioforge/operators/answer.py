@@ -25,23 +25,37 @@ def distinct_refs(refs: DataFrame, chunk_id: str = "id", path: str = "source_pat
     return first.withColumn("source_id", F.row_number().over(Window.partitionBy(*per).orderBy(order))).drop("__key", "__n")
 
 
+def headed(order: str) -> Column:
+    """A source's header: its citation and its label."""
+    return F.concat(T.citation(F.col(order), F.col("start_line"), F.col("end_line")), F.lit(" "), T.display_label(F.col("section_label"), F.col("source_path"), F.col(order)))
+
+
+def joined_blocks(sources: DataFrame, block: Column, between: str, per: tuple[str, ...], order: str, name: str) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("t"))))
+    return sources.groupBy(*per).agg(F.array_join(F.transform(rows, lambda r: r["t"]), between).alias(name), F.count("*").alias("n_sources"))
+
+
 def context(sources: DataFrame, per: tuple[str, ...] = (), order: str = "source_id") -> DataFrame:
     """The ordered context text: header, content and an empty line for each source."""
-    head = F.concat(F.lit("[source "), F.col(order).cast("string"), F.lit("] "), T.display_label(F.col("section_label"), F.col("source_path"), F.col(order)), F.lit(" (lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")"))
-    block = F.concat_ws("\n", head, F.coalesce("content", F.lit("")), F.lit(""))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("t"))))
-    return sources.groupBy(*per).agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n").alias("context"), F.count("*").alias("n_sources"))
+    block = F.concat_ws("\n", headed(order), F.coalesce("content", F.lit("")), F.lit(""))
+    return joined_blocks(sources, block, "\n", per, order, "context")
 
 
 def quotes(sources: DataFrame, per: tuple[str, ...] = (), order: str = "source_id") -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), T.trim(F.col("content")).alias("t"))))
-    return sources.groupBy(*per).agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n---\n\n").alias("quotes"))
+    """The sources' headers and trimmed contents with rules between them."""
+    block = F.concat_ws("\n", headed(order), T.trim(F.coalesce("content", F.lit(""))))
+    return joined_blocks(sources, block, "\n\n---\n\n", per, order, "quotes")
 
 
-def organized(selection: Column) -> Column:
-    """Sections as text: each title, then its excerpts with a rule between; no rule at the end."""
-    parts = F.transform(selection, lambda s: F.concat_ws("\n\n", s["title"], F.array_join(F.transform(s["items"], lambda i: F.concat(F.lit('"'), i["excerpt"], F.lit('" [source '), i["sourceId"].cast("long").cast("string"), F.lit("]"))), "\n\n")))
-    return F.array_join(parts, "\n\n---\n\n")
+def organized(selection: Column, lines: Column) -> Column:
+    """Checked sections as text: each title, then each excerpt behind its citation; a rule between sections, none at the end.
+
+    lines: source_id -> (start_line, end_line).
+    """
+    cite = lambda i: T.citation(i["sourceId"].cast("int"), F.try_element_at(lines, i["sourceId"].cast("int"))["start_line"], F.try_element_at(lines, i["sourceId"].cast("int"))["end_line"])
+    item = lambda i: F.concat_ws("\n", cite(i), i["excerpt"], F.lit(""))
+    parts = F.transform(selection, lambda s: F.concat_ws("\n", s["title"], F.lit(""), F.array_join(F.transform(s["items"], item), "\n")))
+    return F.array_join(parts, "\n---\n\n")
 
 
 def checked_selection(raw: DataFrame, chunks: DataFrame, key: str = "id", text: str = "raw") -> DataFrame:
@@ -59,11 +73,11 @@ def checked_selection(raw: DataFrame, chunks: DataFrame, key: str = "id", text:
         found = F.try_element_at(F.col("by_id"), i["sourceId"])
         return (
             F.when(i["sourceId"].isNull(), F.lit("bad_source"))
+            .when(T.is_blank(i["excerpt"]), F.lit("empty_excerpt"))
             .when((i["sourceId"] < 1) | (i["sourceId"] > F.size("by_id")), F.lit("source_out_of_range"))
             .when(found.isNull(), F.lit("source_not_whole"))
-            .when(T.is_blank(i["excerpt"]), F.lit("empty_excerpt"))
-            .when(T.utf16_length(T.trim(i["excerpt"])) > MAX_EXCERPT, F.lit("excerpt_too_long"))
             .when(~F.contains(found, T.one_spaced(i["excerpt"])), F.lit("excerpt_not_verbatim"))
+            .when(T.utf16_length(T.trim(i["excerpt"])) > MAX_EXCERPT, F.lit("excerpt_too_long"))
         )
 
     def section_reasons(s):

@@ -23,9 +23,11 @@ def with_boxes(rows: DataFrame, tables: DataFrame, page: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster names, in the warehouse where it names none, and read from there."""
+    """df written to the checkpoint folder that the cluster names, and read from there; a session of one machine may name none."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.conf.get("spark.checkpoint.dir", None) and (spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared")
     return df.checkpoint()
 
@@ -123,7 +125,7 @@ def line_roles(lines: DataFrame, pages: DataFrame, page: str = "page") -> DataFr
     marked = marked.withColumn("leads", F.min("leads").over(own.rowsBetween(Window.unboundedPreceding, 0)) == 1)
     whole = Window.partitionBy(page)
     marked = marked.withColumn("leads", F.col("leads") & ~F.min("leads").over(whole))
-    plain = ~F.trim("text").rlike(P.SECTION_LINE) & X.table_label(F.trim("text")).isNull()
+    plain = ~F.trim("text").rlike(P.PAGE_SECTION_LINE) & X.table_label(F.trim("text")).isNull()
     spans = X.is_spanning_note(F.col("x0"), F.col("x1"), F.col("size_median"), F.col("body_size"), F.col("width")) | X.is_spanning_heading(F.col("text"), F.col("x0"), F.col("x1"), F.col("width"))
     role = F.when(F.col("leads"), "spanning_header").when(F.col("mid") & plain, "center_structural").when(plain & spans, "spanning_reference")
     return marked.withColumn("role", role).drop("mid", "leads", "width", "body_size")
@@ -149,7 +151,7 @@ def gutter_line_fits() -> Column:
     tiny = (F.length(bare).between(1, 3)) & slim & in_gutter(0.0)
     prose = X.has_prose_mark(text) & ~(note | symbol | marks | numbers | tiny)
     like = X.has_dot_leaders(text) | X.is_toc_reference(text) | X.is_appendix_reference(text) | X.is_repeated_keyword(text) | note | X.is_index_letter(text, x0, x1, width) | X.is_index_digit(text, x0, x1, width) | symbol | letters | marks | numbers | tiny
-    return ~meets_table() & (bare.rlike(r"^[A-Z]\z") | (~prose & like & ~bare.rlike(P.SECTION_LINE)))
+    return ~meets_table() & (bare.rlike(r"^[A-Z]\z") | (~prose & like & ~bare.rlike(P.PAGE_SECTION_LINE)))
 
 
 def ordered_lines(words: DataFrame, tables: DataFrame, pages: DataFrame, page: str = "page") -> DataFrame:

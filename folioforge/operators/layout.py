@@ -69,7 +69,23 @@ def crossings(rulings: DataFrame, page: str = "page", tolerance: float = P.CROSS
     return h.join(v, page).where(met)
 
 
-def ruled_tables(rulings: DataFrame, page: str = "page", rounds: int = 40) -> DataFrame:
+def is_ruled(tables: DataFrame, rulings: DataFrame, page: str = "page", slack: float = 1.0) -> DataFrame:
+    """tables with `ruled`: whether two horizontal and two vertical lines at least meet the box, give or take slack."""
+    r = rulings.select(F.col(page).alias("__p"), "orientation", "at", "start", "stop")
+    flat = F.col("orientation") == "h"
+    met = F.when(flat, F.col("at").between(F.col("top") - slack, F.col("bottom") + slack) & (F.col("stop") >= F.col("x0") - slack) & (F.col("start") <= F.col("x1") + slack)).otherwise(F.col("at").between(F.col("x0") - slack, F.col("x1") + slack) & (F.col("stop") >= F.col("top") - slack) & (F.col("start") <= F.col("bottom") + slack))
+    counts = tables.join(r, (F.col(page) == F.col("__p")) & met).groupBy(F.col(page).alias("__q"), F.col("table_no").alias("__t")).agg(F.count_if(flat).alias("__h"), F.count_if(~flat).alias("__v"))
+    joined = tables.join(counts, (F.col(page) == F.col("__q")) & (F.col("table_no") == F.col("__t")), "left")
+    return joined.withColumn("ruled", F.coalesce((F.col("__h") >= 2) & (F.col("__v") >= 2), F.lit(False))).drop("__q", "__t", "__h", "__v")
+
+
+def label_lines(words: DataFrame, page: str = "page") -> DataFrame:
+    """All lines of the pages by their top, whatever column they are in, with the table's label where a line is one."""
+    lines = words_to_lines(words, page)
+    return lines.withColumn("label", X.table_label(F.trim("text"))).withColumn("continued", F.contains(F.upper("text"), F.lit("CONTINUED")))
+
+
+def ruled_tables(rulings: DataFrame, page: str = "page") -> DataFrame:
     """page, table_no, x0, x1, top, bottom, n_h, n_v, n_cross: connected lines with 2 of each kind and 4 crossings at least.
 
     A page's lines are few; its components are found by a fold over its crossings, page by page.
@@ -111,7 +127,10 @@ def kept_positions(values: Column, tolerance: float) -> Column:
 
 
 def table_cells(tables: DataFrame, rulings: DataFrame, words: DataFrame, page: str = "page", tolerance: float = P.CROSS_TOLERANCE) -> DataFrame:
-    """page, table_no, row, col, text of every cell of each table's grid; a word on a grid line stands in both its cells."""
+    """page, table_no, row, col, text of every cell of each table's grid: its words' lines, spaced by the cell's own widths.
+
+    A word on a grid line stands in both its cells; a cell without words is ''.
+    """
     met = tables.alias("t").join(rulings.alias("r"), page).where(
         F.when(F.col("r.orientation") == "h", F.col("r.at").between(F.col("t.top") - tolerance, F.col("t.bottom") + tolerance) & (F.col("r.start") <= F.col("t.x1") + 1) & (F.col("r.stop") >= F.col("t.x0") - 1)).otherwise(F.col("r.at").between(F.col("t.x0") - tolerance, F.col("t.x1") + tolerance) & (F.col("r.start") <= F.col("t.bottom") + 1) & (F.col("r.stop") >= F.col("t.top") - 1))
     )
@@ -119,10 +138,14 @@ def table_cells(tables: DataFrame, rulings: DataFrame, words: DataFrame, page: s
     spans = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     rows = grid.where("size(ys) >= 2 and size(xs) >= 2").select(page, "table_no", "xs", F.posexplode(spans("ys")).alias("row", "ry"))
     cells = rows.select(page, "table_no", "row", "ry", F.posexplode(spans("xs")).alias("col", "cx"))
-    w = words.select(F.col(page).alias("__p"), ((F.col("x0") + F.col("x1")) / 2).alias("cxm"), ((F.col("top") + F.col("bottom")) / 2).alias("cym"), F.struct("top", "x0", "text").alias("word"))
-    inside = (F.col(page) == F.col("__p")) & F.col("cxm").between(F.col("cx.a"), F.col("cx.b")) & F.col("cym").between(F.col("ry.a"), F.col("ry.b"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("word")), lambda r: r["text"]), " ")
-    return cells.join(w, inside, "left").groupBy(page, "table_no", "row", "col").agg(text.alias("text"))
+    w = words.select(F.col(page).alias("__p"), "x0", "x1", "top", "bottom", "text", "size")
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    inside = (F.col(page) == F.col("__p")) & x.between(F.col("cx.a"), F.col("cx.b")) & y.between(F.col("ry.a"), F.col("ry.b"))
+    key = F.struct(page, "table_no", "row", "col").alias("cell")
+    held = cells.join(w, inside).select(key, "x0", "x1", "top", "bottom", "text", "size")
+    lines = words_to_lines(held, "cell").groupBy("cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    same = (F.col(page) == F.col(f"cell.{page}")) & (F.col("table_no") == F.col("cell.table_no")) & (F.col("row") == F.col("cell.row")) & (F.col("col") == F.col("cell.col"))
+    return cells.join(lines, same, "left").select(page, "table_no", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def table_stats(cells: DataFrame, page: str = "page") -> DataFrame:
@@ -132,12 +155,17 @@ def table_stats(cells: DataFrame, page: str = "page") -> DataFrame:
 
 
 def table_labels(tables: DataFrame, lines: DataFrame, page: str = "page", reach: float = P.LABEL_REACH) -> DataFrame:
-    """page, table_no, label: the nearest label line above a table within reach, else the first in its top band, else null."""
+    """page, table_no, label: the nearest label line above a table within reach, else the first in its top band, else null.
+
+    Of lines that end equally near the last in reading order (top, x0, text) counts, of those that begin equally high the first.
+    """
     labels = lines.where(X.table_label(F.col("text")).isNotNull()).select(F.col(page).alias("__p"), F.col("x0").alias("lx0"), F.col("x1").alias("lx1"), F.col("top").alias("ltop"), F.col("bottom").alias("lbottom"), F.col("text").alias("ltext"))
     near = tables.join(labels, (F.col(page) == F.col("__p")) & (F.col("lx0") <= F.col("x1")) & (F.col("lx1") >= F.col("x0")), "left")
     above = (F.col("lbottom") <= F.col("top")) & (F.col("top") - F.col("lbottom") <= reach)
     band = F.col("ltop").between(F.col("top"), F.col("top") + (F.col("bottom") - F.col("top")) * 0.15)
-    return near.groupBy(page, "table_no").agg(F.coalesce(F.max_by(F.when(above, F.col("ltext")), F.when(above, F.col("lbottom"))), F.min_by(F.when(band, F.col("ltext")), F.when(band, F.col("ltop")))).alias("label"))
+    nearest = F.max(F.when(above, F.struct("lbottom", "ltop", "lx0", "ltext")))["ltext"]
+    first = F.min(F.when(band, F.struct("ltop", "lx0", "ltext")))["ltext"]
+    return near.groupBy(page, "table_no").agg(F.coalesce(nearest, first).alias("label"))
 
 
 def footnotes(tables: DataFrame, lines: DataFrame, page: str = "page", reach: float = P.LABEL_REACH) -> DataFrame:
@@ -146,14 +174,6 @@ def footnotes(tables: DataFrame, lines: DataFrame, page: str = "page", reach: fl
     return tables.join(n, (F.col(page) == F.col("__p")) & (F.col("ntop") > F.col("bottom")) & (F.col("ntop") <= F.col("bottom") + reach)).select(page, "table_no", "note", F.col("ntop").alias("top"))
 
 
-def column_split(words: DataFrame, page: str = "page") -> DataFrame:
-    """page, split, gap: the middle of the widest horizontal gap; competing is true where two gaps are equally wide."""
-    own = Window.partitionBy(page).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
-    gaps = words.withColumn("__end", F.max("x1").over(own)).withColumn("gap", F.col("x0") - F.col("__end")).where("gap > 0")
-    best = gaps.groupBy(page).agg(F.max("gap").alias("gap"), F.max_by((F.col("x0") + F.col("__end")) / 2, "gap").alias("split"), F.collect_list("gap").alias("g"))
-    return best.select(page, "split", "gap", (F.size(F.filter("g", lambda x: x == F.col("gap"))) > 1).alias("competing"))
-
-
 def header_footer(words: DataFrame, height: Column, page: str = "page") -> DataFrame:
     """page, header, footer: the words in the top and the bottom tenth of the page, joined in order."""
     part = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("top", "x0", "text")))), lambda r: r["text"]), " ")

@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 CORPUS = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'base-amend' ELSE 'base' END AS codebook_id,
        concat('corpus/', source, '/', cast(doc_id AS string), '.txt') AS source_path, lang, text FROM documents"""
 
+#: Texts with line ends of both kinds, lone CRs, form feeds, characters of two UTF-16 units, and headers.
+TEXTS = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'base-amend' ELSE 'base' END AS codebook_id, concat('corpus/', source, '/', cast(doc_id AS string), '.txt') AS source_path, lang,
+       CASE doc_id % 6 WHEN 1 THEN replace(text, '. ', concat('.', chr(13), chr(10))) WHEN 2 THEN replace(text, ' a', chr(13)) WHEN 3 THEN replace(text, ' e', concat(chr(12), '😀'))
+       WHEN 4 THEN concat('SECTION: a | b | c', chr(13), chr(10), text) WHEN 5 THEN replace(text, ' ', '😀') ELSE text END AS text FROM documents"""
+
+#: A vector of letter counts, which SQL and Python make alike: the embedding of the search queries.
+LETTERS = "aeionrst"
+
 HEADERS = """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN concat('PDF_PAGE: ', cast(doc_id AS string))
        WHEN doc_id % 13 = 0 THEN 'SECTION: Code A | Chapter 1'
        WHEN doc_id % 3 = 0 THEN concat('SECTION: Code A Amendments | Item ', cast(doc_id AS string), ' | Target R', cast(100 + doc_id % 400 AS string), ' | Op ', CASE WHEN doc_id % 2 = 0 THEN 'replace_section' ELSE 'append_sentence' END)
@@ -23,6 +31,7 @@ FILE_NAMES = """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN concat(lpad(cast(do
 
 LINES = """SELECT doc_id AS line_no, CASE WHEN doc_id % 50 = 10 THEN concat('CHAPTER ', cast(cast(floor(doc_id / 50.0) AS bigint) + 1 AS string), ' ', source)
        WHEN doc_id % 7 = 3 THEN concat('R', cast(100 + doc_id % 800 AS string), CASE WHEN doc_id % 2 = 0 THEN '.1' ELSE '' END, ' Title ', source, '.')
+       WHEN doc_id % 37 = 1 THEN 'r303 lower case' WHEN doc_id % 41 = 2 THEN 'SECTION R301 Design' WHEN doc_id % 43 = 4 THEN 'R304 . . . . 12' WHEN doc_id % 47 = 6 THEN 'AB1234 not a section' WHEN doc_id % 53 = 8 THEN ' R305.2.1 Indented . '
        WHEN doc_id % 71 = 5 THEN concat('R', cast(100 + doc_id % 800 AS string)) ELSE concat('body ', lang, ' ', cast(n_chars AS string)) END AS line FROM documents"""
 
 TOKENS = """SELECT p_partkey AS token_id, cast(floor(p_partkey / 200.0) AS bigint) AS page, p_brand AS text,

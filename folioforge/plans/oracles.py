@@ -1,4 +1,4 @@
-"""DuckDB SQL of the registered queries, over the driver's tables."""
+"""DuckDB SQL of the registered queries, over the driver's tables. Phrases and patterns in it are fixed values, as in functions/patterns.py."""
 
 from __future__ import annotations
 
@@ -39,11 +39,13 @@ def action_by_name(x: str) -> str:
     return "CASE " + " ".join(f"WHEN contains({t}, '{w}') THEN '{w}'" for w in ("replace", "delete", "add", "modify")) + " ELSE 'unknown' END"
 
 
+VECTOR = "[" + ", ".join(f"CAST(length({{t}}) - length(replace({{t}}, '{c}', '')) AS DOUBLE)" for c in D.LETTERS) + "]"
+
 CHUNKS = r"""
-l AS (SELECT {k}, string_split(coalesce(text, ''), chr(10)) AS x FROM {t}),
+l AS (SELECT {k}, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS x FROM {t}),
 h AS (SELECT {k}, CASE WHEN starts_with(x[1], 'SECTION:') THEN 1 ELSE 0 END AS head, x FROM l),
 r AS (SELECT {k}, head, list_slice(x, head + 1, len(x)) AS x FROM h),
-f AS (SELECT {k}, head, x, list_reduce(list_transform(x, lambda s: {{'c': length(s) + 1, 'n': 1, 'cuts': []::INT[]}}), lambda s, v: CASE WHEN s.c > 0 AND s.c + v.c > 2000 THEN {{'c': v.c, 'n': s.n + 1, 'cuts': list_append(s.cuts, s.n)}} ELSE {{'c': s.c + v.c, 'n': s.n + 1, 'cuts': s.cuts}} END, {{'c': 0::BIGINT, 'n': 0, 'cuts': []::INT[]}}) AS s FROM r),
+f AS (SELECT {k}, head, x, list_reduce(list_transform(x, lambda s: {{'c': length(s) + length(regexp_replace(s, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) + 1, 'n': 1, 'cuts': []::INT[]}}), lambda s, v: CASE WHEN s.c > 0 AND s.c + v.c > 2000 THEN {{'c': v.c, 'n': s.n + 1, 'cuts': list_append(s.cuts, s.n)}} ELSE {{'c': s.c + v.c, 'n': s.n + 1, 'cuts': s.cuts}} END, {{'c': 0::BIGINT, 'n': 0, 'cuts': []::INT[]}}) AS s FROM r),
 g AS (SELECT {k}, head, x, list_concat([0], s.cuts) AS a, list_concat(s.cuts, [len(x)::INT]) AS b FROM f),
 c AS (SELECT {k}, head, x, unnest(range(len(a))) AS chunk_no, unnest(a) AS a, unnest(b) AS b FROM g),
 z AS (SELECT {k}, CAST(chunk_no AS INT) AS chunk_no, CAST(a + head + 1 AS INT) AS start_line, CAST(b + head AS INT) AS end_line, array_to_string(list_slice(x, a + 1, b), chr(10)) AS content FROM c)"""
@@ -75,7 +77,7 @@ v AS (SELECT *, list_filter([CASE WHEN length(clean) <= 120 THEN 'text_too_short
 
 INFO = f"WITH {HEADER[1:]}, {NAMES[1:]}, w AS (SELECT doc_id, item_text FROM ({D.ITEMS})), a AS (SELECT doc_id, coalesce({nz(norm_id(nz('coalesce(m.target_section_id, m.section_id)')))}, {nz(norm_id('n.raw_path'))}, {nz(norm_id(nz(f'regexp_extract(w.item_text, {chr(39)}{SECTION}{chr(39)}, 1)')))}) AS target_section_id, {action_by_name('m.amendment_action')} AS named, {action_by_text('w.item_text')} AS told FROM w JOIN m USING (doc_id) JOIN n USING (doc_id)), info AS (SELECT doc_id, CASE WHEN named IS NULL OR named = 'unknown' THEN told ELSE named END AS action, target_section_id FROM a)"
 BASE = f"{INFO}, base AS (SELECT doc_id, section_id, {norm_id('section_id')} AS norm FROM m)"
-GONE = "SELECT target_section_id FROM info WHERE doc_id % 10 = 1 AND doc_id % 17 != 0 AND action IN ('delete', 'replace')"
+GONE = "SELECT target_section_id FROM info WHERE target_section_id IS NOT NULL AND action IN ('delete', 'replace')"
 
 PARTS = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(answer), '([.!?])\s+', '\1' || chr(1), 'g'), '[\n\x01]+'), lambda x: trim(x)), lambda x: x <> '')"
 QC = r"(regexp_matches({x}, '" + '"[^"]{{3,}}"' + r"') AND regexp_matches({x}, '(?i)\[source\s+\d+,\s+lines\s+\d+[-–]\d+\]'))"
@@ -88,15 +90,15 @@ HISTORY = "SELECT *, count(*) OVER w AS n_history, last_value(CASE WHEN role = '
 SQL = {
     "vector_topk": f"SELECT e.vec_id, round({COSINE}, 6) AS score FROM embeddings e, {QUERY} ORDER BY {COSINE} DESC, e.vec_id LIMIT 6",
     "vector_topk_per_corpus": f"SELECT label, CAST(rank AS INT) AS rank, vec_id, round(score, 6) AS score FROM (SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT e.label, e.vec_id, {COSINE} AS score FROM embeddings e, {QUERY})) WHERE rank <= 6",
-    "search_preview": f"SELECT doc_id, codebook_id, source_path, substring(text, 1, 500) AS preview FROM ({D.CORPUS}) WHERE doc_id IN (SELECT vec_id FROM (SELECT e.vec_id FROM embeddings e, {QUERY} ORDER BY {COSINE} DESC, e.vec_id LIMIT 5))",
+    "search_preview": f"SELECT doc_id, codebook_id, source_path, array_to_string(list_transform(list_filter(range(1, least(length(text), 500) + 1), lambda i: i + length(regexp_replace(substring(text, 1, i), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) <= 500), lambda i: substring(text, i, 1)), '') AS preview FROM ({D.TEXTS}) WHERE doc_id IN (SELECT vec_id FROM (SELECT e.vec_id FROM embeddings e, {QUERY} ORDER BY {COSINE} DESC, e.vec_id LIMIT 5))",
     "registry_labels": f"WITH r AS ({D.REGISTRY}), a AS (SELECT base_id, max_by(id, ord) AS amendment_id FROM r WHERE is_amendment GROUP BY base_id) SELECT codebook_id, coalesce(r.label, codebook_id) AS label, NOT coalesce(r.is_amendment, false) AS is_base, a.amendment_id, docs FROM (SELECT codebook_id, count(*) AS docs FROM ({D.CORPUS}) GROUP BY codebook_id) c LEFT JOIN r ON c.codebook_id = r.id LEFT JOIN a ON c.codebook_id = a.base_id",
     "doc_lines": "SELECT doc_id, CAST(unnest(range(1, len(x) + 1)) AS INT) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)",
-    "greedy_chunks": "WITH " + CHUNKS[1:].format(k="doc_id", t="documents") + " SELECT * FROM z",
+    "greedy_chunks": "WITH " + CHUNKS[1:].format(k="doc_id", t=f"({D.TEXTS})") + " SELECT * FROM z",
     "chunk_ids": "WITH " + CHUNKS[1:].format(k="codebook_id, source_path", t=f"({D.CORPUS})") + " SELECT codebook_id || '-' || CAST(row_number() OVER (PARTITION BY codebook_id ORDER BY source_path, chunk_no) - 1 AS VARCHAR) AS chunk_id, source_path, start_line, end_line, CAST(length(content) AS INT) AS chars FROM z",
     "header_parse": f"WITH {HEADER[1:]} SELECT doc_id, CAST(starts_with(header, 'SECTION:') AS INT) AS header_lines, code_system, title, chapter, section_id, target_section_id, amendment_action, section_title, CASE WHEN {nz('section_id')} IS NOT NULL THEN concat_ws(' – ', 'Section ' || section_id, section_title) END AS section_label FROM m",
     "filename_meta": f"WITH {NAMES[1:]} SELECT doc_id, title, chapter, section, 'Section ' || section AS section_label, {URL} AS public_url, {norm_id('raw_path')} AS path_section FROM n",
-    "section_split": rf"""WITH l AS (SELECT CAST(floor(line_no / 1000.0) AS BIGINT) AS doc, line_no, line, {nz(r"regexp_extract(line, '(?i)^CHAPTER\s+(\d+)\b', 1)")} AS ch FROM ({D.LINES})),
-s AS (SELECT *, CASE WHEN ch IS NULL THEN {nz(r"regexp_extract(line, '^(R\d{3}(?:\.\d+)*)(?:\s+(.+))?$', 1)")} END AS id, {nz(r"trim(regexp_replace(regexp_extract(line, '^(R\d{3}(?:\.\d+)*)(?:\s+(.+))?$', 2), '\s*\.$', ''))")} AS t FROM l),
+    "section_split": rf"""WITH l AS (SELECT CAST(floor(line_no / 1000.0) AS BIGINT) AS doc, line_no, line, trim(line) AS bare, {nz(r"regexp_extract(trim(line), '(?i)^CHAPTER\s+(\d+)\b', 1)")} AS ch FROM ({D.LINES})),
+s AS (SELECT *, CASE WHEN ch IS NULL THEN {nz(r"regexp_extract(bare, '^(R\d{3}(?:\.\d+)*)(?:\s+(.+))?$', 1)")} END AS id, {nz(r"trim(regexp_replace(regexp_extract(bare, '^(R\d{3}(?:\.\d+)*)(?:\s+(.+))?$', 2), '\s*\.$', ''))")} AS t FROM l),
 r AS (SELECT *, sum(CASE WHEN id IS NOT NULL THEN 1 ELSE 0 END) OVER w AS section_no, last_value(ch IGNORE NULLS) OVER w AS now FROM s WINDOW w AS (PARTITION BY doc ORDER BY line_no ROWS UNBOUNDED PRECEDING))
 SELECT doc, CAST(section_no AS BIGINT) AS section_no, min_by(id, line_no) AS section_id, max(CASE WHEN id IS NOT NULL THEN t END) AS section_title, arg_max_null(now, line_no) AS chapter, min(line_no) AS start_line, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE ch IS NULL AND id IS NULL), '') AS body FROM r WHERE section_no > 0 GROUP BY doc, section_no""",
     "item_split": rf"""WITH l AS (SELECT CAST(floor(doc_id / 500.0) AS BIGINT) AS doc, doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN item_text ELSE 'more ' || CAST(doc_id AS VARCHAR) END, '\s+$', '') AS line FROM ({D.ITEMS})),
@@ -108,11 +110,13 @@ SELECT doc, CAST(position AS BIGINT) AS position, min(doc_id) AS start_line, min
     "amendment_info": f"{INFO} SELECT doc_id, action, target_section_id FROM info",
     "amendment_override_normal": f"{BASE} SELECT doc_id, section_id FROM base WHERE norm NOT IN ({GONE})",
     "amendment_override_empty": f"{BASE} SELECT doc_id, section_id FROM base WHERE norm NOT IN (SELECT target_section_id FROM info WHERE false)",
-    "amendment_override_null": f"{BASE} SELECT doc_id, section_id FROM base WHERE norm NOT IN (SELECT CASE WHEN doc_id % 20 = 1 THEN target_section_id END FROM info WHERE doc_id % 10 = 1 AND action IN ('delete', 'replace'))",
-    "context_build": f"SELECT q, string_agg(t, chr(10) ORDER BY sid) AS context, count(*) AS n_sources FROM (SELECT CAST(floor(doc_id / 10.0) AS BIGINT) AS q, doc_id % 10 + 1 AS sid, '[source ' || CAST(doc_id % 10 + 1 AS VARCHAR) || '] ' || coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), nullif(source_path, ''), 'Source ' || CAST(doc_id % 10 + 1 AS VARCHAR)) || ' (lines 1-' || CAST(len(string_split(coalesce(text, ''), chr(10))) AS VARCHAR) || ')' || chr(10) || coalesce(substring(text, 1, 40), '') || chr(10) AS t FROM ({D.CORPUS})) GROUP BY q",
-    "amendment_refs": f"WITH d AS (SELECT CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE 'c-' || CAST(doc_id % 7 AS VARCHAR) END AS id, 'p' || CAST(doc_id % 3 AS VARCHAR) AS source_path, codebook_id, row_number() OVER (ORDER BY codebook_id = 'base', doc_id) AS n FROM ({D.CORPUS}) WHERE doc_id < 40), k AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN trim(id) = '' THEN source_path || ':1-2' ELSE id END ORDER BY n) AS j FROM d) SELECT id, source_path, codebook_id, CAST(row_number() OVER (ORDER BY n) AS INT) AS source_id FROM k WHERE j = 1",
+    "amendment_override_null": f"{BASE} SELECT doc_id, section_id FROM base WHERE norm NOT IN (SELECT CASE WHEN doc_id % 20 <> 1 THEN target_section_id END FROM info WHERE action IN ('delete', 'replace'))",
+    "context_build": f"SELECT q, string_agg(t, chr(10) ORDER BY sid) AS context, count(*) AS n_sources FROM (SELECT CAST(floor(doc_id / 10.0) AS BIGINT) AS q, doc_id % 10 + 1 AS sid, '[source ' || CAST(doc_id % 10 + 1 AS VARCHAR) || ', lines 1-' || CAST(len(string_split(coalesce(text, ''), chr(10))) AS VARCHAR) || '] ' || coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), nullif(source_path, ''), 'Source ' || CAST(doc_id % 10 + 1 AS VARCHAR)) || chr(10) || coalesce(text, '') || chr(10) AS t FROM ({D.CORPUS})) GROUP BY q",
+    "quotes_raw": f"SELECT q, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY sid) AS quotes, count(*) AS n_sources FROM (SELECT CAST(floor(doc_id / 10.0) AS BIGINT) AS q, doc_id % 10 + 1 AS sid, '[source ' || CAST(doc_id % 10 + 1 AS VARCHAR) || ', lines 1-9] ' || CASE WHEN doc_id % 4 = 0 THEN source_path ELSE 'of ' || lang END || chr(10) || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM ({D.CORPUS})) GROUP BY q",
+    "amendment_refs": f"WITH d AS (SELECT CAST(floor(doc_id / 40.0) AS BIGINT) AS q, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE 'c-' || CAST(doc_id % 7 AS VARCHAR) END AS id, 'p' || CAST(doc_id % 3 AS VARCHAR) AS source_path, codebook_id, row_number() OVER (PARTITION BY floor(doc_id / 40.0) ORDER BY codebook_id = 'base', doc_id) AS n FROM ({D.CORPUS})), k AS (SELECT *, row_number() OVER (PARTITION BY q, CASE WHEN trim(id) = '' THEN source_path || ':1-2' ELSE id END ORDER BY n) AS j FROM d) SELECT q, id, source_path, codebook_id, CAST(row_number() OVER (PARTITION BY q ORDER BY n) AS INT) AS source_id FROM k WHERE j = 1",
     "answer_check": f"SELECT id, trim(answer) = 'I cannot answer that from the provided code sections.' OR (len({PARTS}) > 0 AND len(list_filter({PARTS}, lambda x: NOT {QC.format(x='x')})) = 0) AS valid, {QC.format(x='answer')} AS whole FROM ({ANSWERS})",
-    "quote_check": "SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'excerpt_not_verbatim' WHEN 2 THEN 'source_out_of_range' WHEN 3 THEN 'not_json' WHEN 4 THEN 'cannot_answer' ELSE 'no_title' END AS reason, doc_id % 6 = 0 AS kept FROM documents WHERE text IS NOT NULL AND length(text) > 60",
+    "quote_check": "WITH e AS (SELECT doc_id, doc_id % 6 AS m, regexp_replace(replace(right(coalesce(text, ''), 30), ' ', '  '), '^\\s+|\\s+$', '', 'g') AS x FROM documents) SELECT doc_id AS id, CASE WHEN m = 3 THEN 'not_json' WHEN m = 4 THEN 'cannot_answer' WHEN m = 5 THEN 'no_title' WHEN m = 1 THEN 'excerpt_not_verbatim' WHEN x = '' THEN 'empty_excerpt' WHEN m = 2 THEN 'source_out_of_range' END AS reason, CASE WHEN m = 0 AND x <> '' THEN 'T' || chr(10) || chr(10) || '[source 1, lines 1-7]' || chr(10) || x || chr(10) END AS answer FROM e",
+    "search_flow": f"WITH c AS (SELECT codebook_id || '-' || CAST(doc_id AS VARCHAR) AS id, codebook_id, doc_id, {VECTOR.format(t="coalesce(text, '')")} AS v FROM ({D.CORPUS})), q AS (SELECT item_id, coalesce(text, '') AS text, CASE WHEN item_id % 2 = 0 THEN 'base' ELSE 'base-amend' END AS corpus, CASE WHEN item_id % 3 = 0 THEN 5 ELSE 3 END AS k, {VECTOR.format(t="regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')")} AS v FROM benchmark), s AS (SELECT item_id, k, id, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN list_dot_product(c.v, c.v) * list_dot_product(q.v, q.v) = 0 THEN 0.0 ELSE list_dot_product(c.v, q.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(q.v, q.v))) END DESC, doc_id) AS r FROM q JOIN c ON c.codebook_id = q.corpus WHERE text <> '') SELECT q.item_id AS request_id, CASE WHEN q.text = '' THEN 400 ELSE 200 END AS status, string_agg(s.id, ',' ORDER BY r) AS ids FROM q LEFT JOIN s ON s.item_id = q.item_id AND s.r <= s.k GROUP BY q.item_id, q.text",
     "code_like": f"SELECT item_id, {CODE.format(x='query')} AS code_like, regexp_matches(query, '(?i)\\b(?:when|okay|ok)\\b') AND regexp_matches(query, '\\b(?:24|16)\\b') AS comparison FROM ({QUESTIONS})",
     "session_window": f"SELECT conv_id, turn, n_history, last_query FROM ({HISTORY})",
     "effective_query": f"SELECT conv_id, turn, CASE WHEN NOT {CODE.format(x='text')} AND n_history > 0 AND last_query IS NOT NULL THEN last_query || chr(10) || chr(10) || 'Follow-up question:' || chr(10) || text ELSE text END AS effective_query FROM ({HISTORY}) WHERE role = 'user'",

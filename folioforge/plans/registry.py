@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +13,7 @@ from folioforge.functions import headers
 from folioforge.functions import page_text as X
 from folioforge.functions import patterns as P
 from folioforge.functions import text as T
-from folioforge.operators import amendments, answer, chunking, columns, layout, page_sections, sections, session, vector
+from folioforge.operators import amendments, answer, ask, chunking, columns, layout, page_sections, sections, session, vector
 
 from . import derived as D
 
@@ -37,7 +39,7 @@ def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 5 vectors with their documents' previews; content joins after the top is known."""
     rows = D.table(spark, sf_dir, "embeddings")
     best = vector.top_k(rows, query_vector(rows), 5, order="vec_id").select("vec_id")
-    docs = D.derived(spark, sf_dir, D.CORPUS)
+    docs = D.derived(spark, sf_dir, D.TEXTS)
     return docs.join(F.broadcast(best), docs.doc_id == best.vec_id).select("doc_id", "codebook_id", "source_path", T.preview(F.col("text")).alias("preview"))
 
 
@@ -55,7 +57,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.greedy_chunks(D.table(spark, sf_dir, "documents"), BUDGET, keep=("doc_id",))
+    return chunking.greedy_chunks(D.derived(spark, sf_dir, D.TEXTS), BUDGET, keep=("doc_id",))
 
 
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,51 +117,40 @@ def amendment_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def override(kind: str):
+    """The base without what all amendments exclude: with their targets, without amendments, and with some targets unknown."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = D.derived(spark, sf_dir, D.HEADERS).select("doc_id", headers.parse_header(F.col("header"))["section_id"].alias("section_id"))
         rows = amendment_rows(spark, sf_dir)
-        gone = amendments.exclusions({"normal": rows.where("doc_id % 10 = 1 and doc_id % 17 != 0"), "empty": rows.limit(0), "null": rows.where("doc_id % 10 = 1").withColumn("info", F.struct(F.col("info.action"), F.when(F.col("doc_id") % 20 == 1, F.col("info.target_section_id")).alias("target_section_id")))}[kind])
+        unknown = F.struct(F.col("info.action"), F.when(F.col("doc_id") % 20 != 1, F.col("info.target_section_id")).alias("target_section_id"))
+        gone = amendments.exclusions({"normal": rows.where("info.target_section_id is not null"), "empty": rows.limit(0), "null": rows.withColumn("info", unknown)}[kind])
         return amendments.override(base, gone)
 
     return run
 
 
 def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of whole texts, ten documents for each query q."""
     docs = D.derived(spark, sf_dir, D.CORPUS).withColumn("q", F.floor(F.col("doc_id") / F.lit(10))).withColumn("source_id", F.col("doc_id") % 10 + 1)
-    src = docs.select("q", "source_id", F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("lang")).alias("section_label"), "source_path", F.lit(1).alias("start_line"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("end_line"), F.substring("text", 1, 40).alias("content"))
+    src = docs.select("q", "source_id", F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("lang")).alias("section_label"), "source_path", F.lit(1).alias("start_line"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("end_line"), F.col("text").alias("content"))
     return answer.context(src, per=("q",))
 
 
-def amendment_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query's references: distinct by id, the first staying, numbered anew after amendments come before base."""
-    docs = D.derived(spark, sf_dir, D.CORPUS).where("doc_id < 40").select(F.when(F.col("doc_id") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("c-"), (F.col("doc_id") % 7).cast("string"))).alias("id"), F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("source_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.col("doc_id").alias("rank"), "codebook_id")
-    both = answer.numbered_union(docs.where("codebook_id = 'base-amend'"), docs.where("codebook_id = 'base'"))
-    return answer.distinct_refs(both.withColumn("rank", F.col("source_id")).drop("source_id")).select("id", "source_path", "codebook_id", "source_id")
+def quotes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and whole trimmed texts, ten documents for each query q; labels by the chain of metadata."""
+    docs = D.derived(spark, sf_dir, D.CORPUS).withColumn("q", F.floor(F.col("doc_id") / F.lit(10))).withColumn("source_id", F.col("doc_id") % 10 + 1)
+    meta = F.map_from_entries(F.array(F.struct(F.when(F.col("doc_id") % 4 == 1, F.lit("sectionLabel")).when(F.col("doc_id") % 4 == 2, F.lit("header")).when(F.col("doc_id") % 4 == 3, F.lit("sectionId")).otherwise(F.lit("section")), F.concat(F.lit("of "), F.col("lang")))))
+    src = docs.select("q", "source_id", T.section_label(meta).alias("section_label"), "source_path", F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.col("text").alias("content"))
+    return answer.quotes(src, per=("q",))
 
 
-def amendment_refs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of all documents, forty for each query q, deduped and numbered within it."""
+def amendment_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of all documents, forty for each query q: distinct by id within it, numbered anew after amendments come before base."""
     docs = D.derived(spark, sf_dir, D.CORPUS).select(F.floor(F.col("doc_id") / F.lit(40)).alias("q"), F.when(F.col("doc_id") % 4 == 0, F.lit(" ")).otherwise(F.concat(F.lit("c-"), (F.col("doc_id") % 7).cast("string"))).alias("id"), F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("source_path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.col("doc_id").alias("rank"), "codebook_id")
     both = answer.numbered_union(docs.where("codebook_id = 'base-amend'"), docs.where("codebook_id = 'base'"), per=("q",))
     return answer.distinct_refs(both.withColumn("rank", F.col("source_id")).drop("source_id"), per=("q",)).select("q", "id", "source_path", "codebook_id", "source_id")
 
 
-def context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contexts of whole texts, ten documents for each query q."""
-    docs = D.derived(spark, sf_dir, D.CORPUS).withColumn("q", F.floor(F.col("doc_id") / F.lit(10)))
-    src = docs.select("q", (F.col("doc_id") % 10 + 1).alias("source_id"), F.col("lang").alias("section_label"), "source_path", F.lit(1).alias("start_line"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("end_line"), F.col("text").alias("content"))
-    return answer.context(src, per=("q",))
-
-
-def quote_check_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An excerpt of each document's last 30 characters against its whole text; null, empty and short texts too."""
-    docs = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    chunks = docs.select("id", F.lit(1).alias("source_id"), "content")
-    items = F.array(F.struct(F.lit(1).alias("sourceId"), F.expr("right(coalesce(content, ''), 30)").alias("excerpt")))
-    raw = docs.select("id", F.to_json(F.struct(F.array(F.struct(F.lit("T").alias("title"), items.alias("items"))).alias("sections"))).alias("raw"))
-    return answer.checked_selection(raw, chunks).select("id", "reason", answer.organized(F.col("sections")).isNotNull().alias("kept"))
-
-
 ANSWERS = """SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'I cannot answer that from the provided code sections.' WHEN 1 THEN concat('The rule says "', lang, ' text" [source 1, lines 2-', cast(doc_id AS string), '].')
   WHEN 2 THEN concat('One "abc" [Source 2, lines 1–3]. Two is bare ', source, '.') WHEN 3 THEN concat('A "quoted text" [source 3, lines 4-5]', chr(10), chr(10), 'B "more text here" [source 1, lines 1-2]') WHEN 4 THEN concat('"ab" [source 1, lines 1-2] ', lang) ELSE concat('She said "stop. now" [source 1, lines 1-2] ', source) END AS answer FROM documents"""
 
@@ -170,19 +161,62 @@ def answer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selector replies over two sources each: verbatim, changed, out of range, not JSON, refused, without a title."""
-    docs = D.table(spark, sf_dir, "documents").where("text is not null and length(text) > 60").select("doc_id", F.substring(F.regexp_replace("text", r'["\\\n]', " "), 1, 300).alias("content"))
+    """Selector replies over two sources each, the whole text first: verbatim, changed, out of range, not JSON, refused, without a title."""
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     chunks = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("source_id"), "content").union(docs.select("doc_id", F.lit(2), F.lit("second  source text")))
-    excerpt = F.when(F.col("doc_id") % 6 == 1, F.lit("never in there")).otherwise(F.regexp_replace(F.substring("content", 5, 30), " ", "  "))
+    excerpt = F.when(F.col("doc_id") % 6 == 1, F.lit("never in there")).otherwise(F.regexp_replace(F.expr("right(coalesce(content, ''), 30)"), " ", "  "))
     number = F.when(F.col("doc_id") % 6 == 2, F.lit(3)).otherwise(1)
     reply = F.to_json(F.struct(F.array(F.struct(F.when(F.col("doc_id") % 6 == 5, F.lit(None).cast("string")).otherwise(F.lit("T")).alias("title"), F.array(F.struct(number.alias("sourceId"), excerpt.alias("excerpt"))).alias("items"))).alias("sections")))
     raw = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 6 == 3, F.lit("no json {")).when(F.col("doc_id") % 6 == 4, F.lit('{"cannotAnswer": true}')).otherwise(reply).alias("raw"))
-    return answer.checked_selection(raw, chunks).select("id", "reason", answer.organized(F.col("sections")).isNotNull().alias("kept"))
+    lines = F.map_from_entries(F.array(F.struct(F.lit(1), F.struct(F.lit(1).alias("start_line"), F.lit(7).alias("end_line")))))
+    return answer.checked_selection(raw, chunks).select("id", "reason", answer.organized(F.col("sections"), lines).alias("answer"))
 
 
 QUESTIONS = "SELECT item_id, CASE item_id % 4 WHEN 0 THEN concat('what about R302.2 ', text) WHEN 1 THEN concat('see 57-12-6 ', text) WHEN 2 THEN concat('Title 10 and Chapter 3-', cast(item_id AS string), ' of section 3-1-1.', cast(item_id AS string)) ELSE text END AS query FROM {source}"
 
 
+def letter_vectors(texts: list[str]) -> list[list[float]]:
+    return [[float(t.count(c)) for c in D.LETTERS] for t in texts]
+
+
+def letter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as chunks of two corpora with letter counts as vectors, made by SQL."""
+    docs = D.derived(spark, sf_dir, D.CORPUS)
+    vector_of = F.array(*(F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit(c), F.lit(""))) for c in D.LETTERS)).cast("array<double>")
+    meta = F.map_from_entries(F.array(F.struct(F.lit("sectionId"), F.concat(F.lit("R"), (100 + F.col("doc_id") % 300).cast("string")))))
+    return docs.select(F.concat("codebook_id", F.lit("-"), F.col("doc_id").cast("string")).alias("id"), F.col("codebook_id").alias("corpus"), F.col("doc_id").alias("ord"), "source_path", F.lit(1).alias("start_line"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("end_line"), F.coalesce("text", F.lit("")).alias("content"), vector_of.alias("embedding"), meta.alias("meta"))
+
+
+def search_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as a search request, from its JSON body to its response."""
+    bodies = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.to_json(F.struct(F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, F.lit("base")).otherwise(F.lit("base-amend")).alias("codebookId"), F.when(F.col("item_id") % 3 == 0, F.lit(0)).otherwise(F.lit(3)).alias("topK"))).alias("body"))
+    found = ask.search(bodies, letter_chunks(spark, sf_dir), letter_vectors)
+    ids = F.array_join(F.transform(F.from_json("response", "results array<struct<id:string>>")["results"], lambda r: r["id"]), ",")
+    return found.select("request_id", "status", ids.alias("ids"))
+
+
+def first_words(prompts: list[str]) -> list[str]:
+    """A selector for tests: the first 20 characters of the first source."""
+    heads = [p.split("[source 1, lines ", 1) for p in prompts]
+    bodies = [h[1].split("\n", 1)[1] if len(h) > 1 else "" for h in heads]
+    return [json.dumps({"sections": [{"title": "Found", "items": [{"sourceId": 1, "excerpt": b[:20]}]}]}) if b[:20].strip() else '{"cannotAnswer": true}' for b in bodies]
+
+
+def quoting(prompts: list[str]) -> list[str]:
+    """An answer model for tests: quotes the first excerpt behind its citation; fails for prompts of even length."""
+    if any(len(p) % 2 == 0 for p in prompts):
+        raise RuntimeError("no answer")
+    found = [re.search(r"(\[source \d+, lines \d+-\d+\])\n([^\n\"]+)", p) for p in prompts]
+    return [f'It says "{m[2]}" {m[1]}.' if m else "" for m in found]
+
+
+def ask_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as a question, through retrieval, amendments, selection and the checked answer."""
+    bodies = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.to_json(F.struct(F.col("text").alias("query"), F.lit("base").alias("codebookId"))).alias("body"))
+    registry = spark.sql(D.REGISTRY)
+    return ask.ask(bodies, letter_chunks(spark, sf_dir), registry, letter_vectors, first_words, quoting).select("request_id", "status", "response")
+
+
 def code_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(QUESTIONS, source=D.table(spark, sf_dir, "benchmark"))
     return rows.select("item_id", T.looks_like_code(F.col("query")).alias("code_like"), T.wants_comparison(F.col("query")).alias("comparison"))
@@ -299,7 +333,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         vector_topk, vector_topk_per_corpus, search_preview, registry_labels, doc_lines, greedy_chunks, chunk_ids, header_parse, filename_meta, section_split, item_split, op_classify, item_validate, extract_report, amendment_info,
         context_build, amendment_refs, answer_check, quote_check, code_like, session_window, effective_query, structure_extract, structure_match, page_median, page_percentile, line_build, rulings, table_grid, label_bind, section_stack, table_continuation, page_columns, turned_tables,
-        amendment_refs_whole, context_whole, quote_check_whole,
+        quotes_raw, search_flow, ask_flow,
     )
     return {q.__name__: q for q in own} | {f"amendment_override_{k}": override(k) for k in ("normal", "empty", "null")}
 

@@ -96,25 +96,6 @@ def test_answers(spark):
     assert [r[0] for r in df.select(answer.answer_is_valid(F.col("a"))).collect()] == [True, True, False, False]
 
 
-def test_whole_inputs(spark, small_dir):
-    """References, contexts and quotation checks of all documents, against plain Python."""
-    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect())
-    want = []
-    for q in sorted({d // 40 for d, _ in docs}):
-        own, seen, n = sorted((d for d, _ in docs if d // 40 == q), key=lambda d: (d % 5 != 0, d)), set(), 0
-        for d in own:
-            key = f"p{d % 3}:1-2" if d % 4 == 0 else f"c-{d % 7}"
-            if key not in seen:
-                seen.add(key)
-                n += 1
-                want.append((q, " " if d % 4 == 0 else f"c-{d % 7}", f"p{d % 3}", "base-amend" if d % 5 == 0 else "base", n))
-    assert rows(QUERIES["amendment_refs_whole"](spark, small_dir).collect()) == rows(want) and want[-1][0] > 0
-    contexts = {r.q: r.context for r in QUERIES["context_whole"](spark, small_dir).collect()}
-    assert all((text or "") in contexts[d // 10] for d, text in docs)
-    checked = {r.id: (r.reason, r.kept) for r in QUERIES["quote_check_whole"](spark, small_dir).collect()}
-    assert checked == {d: (None, True) if (text or "")[-30:].strip() else ("empty_excerpt", False) for d, text in docs}
-
-
 def test_unlabelled_and_continued_tables(spark):
     cells = (["a", "b"], [["1", "2"]])
     given = [("d", 1, 1, None, False, False), ("d", 1, 2, None, False, False), ("d", 2, 1, "R301.2(1)", True, False), ("d", 3, 1, "R301.2", False, True), ("d", 4, 1, "R9.1", False, True)]
