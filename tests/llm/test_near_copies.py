@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from folioforge.llm import near_copies, simhash
 
 
@@ -58,3 +60,24 @@ def test_pipeline_keeps_one_of_near_copies_at_similarity_08(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == list(range(0, 80, 2))
     by_bits = {r.key: r.component for r in simhash.near_duplicates(docs, words=4, k=4).collect()}
     assert sum(by_bits[2 * k + 1] == 2 * k for k in range(40)) < 40
+
+
+def test_pivots_lose_no_link():
+    """A key of many members in trees of their own: its forest connects what all links connect."""
+    rng = np.random.default_rng(2)
+    own = []
+    for _ in range(30):
+        base = rng.integers(0, 1 << 40, 60)
+        own += [np.unique(np.concatenate([base[rng.random(60) > 0.08], rng.integers(0, 1 << 40, rng.integers(0, 6))])) for _ in range(8)]
+    links = near_copies.links_within([bytes([k]) for k in range(len(own))], own, 80)
+    root = list(range(len(own)))
+    wanted = list(range(len(own)))
+    merged = lambda r, a, b: [min(r[a], r[b]) if v in (r[a], r[b]) else v for v in r]
+    for a, b in links:
+        assert len(np.intersect1d(own[a], own[b])) * 100 >= len(np.union1d(own[a], own[b])) * 80
+        root = merged(root, a, b)
+    for a in range(len(own)):
+        for b in range(a):
+            if len(np.intersect1d(own[a], own[b])) * 100 >= len(np.union1d(own[a], own[b])) * 80:
+                wanted = merged(wanted, a, b)
+    assert root == wanted and len(set(root)) < 200 and len(links) == len(own) - len(set(root))
