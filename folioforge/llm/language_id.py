@@ -85,10 +85,9 @@ class Profiles:
         missing = np.flatnonzero(self.keys[slot] != keys)
         if not len(missing):
             return self.vectors[slot]
-        new = self.made(keys[missing])
-        self.keys[slot[missing]], self.vectors[slot[missing]] = keys[missing], new
         out = self.vectors[slot]
-        out[missing] = new
+        out[missing] = self.made(keys[missing])
+        self.keys[slot[missing]], self.vectors[slot[missing]] = keys[missing], out[missing]
         return out
 
     def bundle(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
