@@ -43,6 +43,7 @@ def test_near_copies_equal_brute_force(spark):
     want = brute(rows)
     assert 20 < len(set(want.values())) < len(want) - 40
     assert {r.key: r.component for r in near_copies.near_copies(table).collect()} == want
+    assert {r.key: r.component for r in near_copies.near_copies(table, held=500).collect()} == want  # keys in several tasks
     assert near_copies.near_copies(table.limit(0)).count() == 0
 
 

@@ -1,10 +1,12 @@
 """Decontamination, line chunks, secrets, licences, languages and media against brute force, round trips and held-out rows."""
 
+import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from hashlib import md5, sha256
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -174,9 +176,69 @@ def test_licenses(spark, small_dir):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_base(text), d
         assert set(r.base_labels) <= set(r.labels) and 0 <= r.score <= 1
     tag = licenses.scan("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0 */")
-    assert [set(a) for a in tag["expressions"][0]] == [{"mit", "gpl-2.0-only-with-classpath-exception-2.0"}, {"apache-2.0", "gpl-2.0-only-with-classpath-exception-2.0"}]
+    assert tag["expressions"] == [["mit", "apache-2.0", "gpl-2.0-only-with-classpath-exception-2.0"]]
     assert licenses.parse_expression("OR MIT") is None and licenses.parse_expression("(MIT") is None
-    assert licenses.evaluate(licenses.parse_expression("a or b and c")) == [frozenset("a"), frozenset("bc")]
+    assert list(licenses.alternatives(licenses.tree_of(licenses.parse_expression("a or b and c")))) == [frozenset("a"), frozenset("bc")]
+    rows = spark.createDataFrame([(1, "SPDX-License-Identifier: Apache-2.0\nsee the Apache License, Version 2.0", "x"), (1, "SPDX-License-Identifier: Apache-2.0\nsee the Apache License, Version 2.0", "x"), (2, "spdx-license-identifier: Foo-1 OR LicenseRef-own OR (MIT", "y")], "doc_id long, text string, labels string")
+    got = sorted((r.doc_id, r.labels, r.expressions, r.score) for r in licenses.license_scan(rows).collect())
+    assert got == [(1, ["apache-2"], [["apache-2.0"]], 1.0)] * 2 + [(2, ["licenseref-own"], [["foo-1", "licenseref-own"]], 1.0)]
+    assert licenses.license_scan(rows.limit(0)).count() == 0
+
+
+def every_alternative(tree):
+    if tree[0] == "id":
+        return [frozenset([tree[1]])]
+    if tree[0] == "with":
+        return [frozenset(f"{n}-with-{tree[2][1]}" for n in one) for one in every_alternative(tree[1])]
+    parts = [every_alternative(p) for p in tree[1]]
+    return sum(parts, []) if tree[0] == "or" else [frozenset().union(*chosen) for chosen in itertools.product(*parts)]
+
+
+def test_licence_expressions():
+    """Random expressions against their recursive meaning; long ones in time of their length."""
+    rng = random.Random(7)
+
+    def expression(depth):
+        if not depth or rng.random() < 0.3:
+            return rng.choice(["MIT", "Apache-2.0", "GPL-2.0-only WITH Classpath-exception-2.0", "X-1"])
+        return rng.choice(["({} AND {})", "({} OR {})"]).format(expression(depth - 1), expression(depth - 1))
+
+    for _ in range(60):
+        found = licenses.parse_expression(expression(4))
+        tree = licenses.tree_of(found)
+        assert list(licenses.alternatives(tree)) == every_alternative(tree)
+        assert set(licenses.evaluate(found)) == frozenset().union(*every_alternative(tree))
+    many = licenses.parse_expression(" AND ".join(f"(a{k} OR b{k})" for k in range(30000)))
+    assert len(licenses.evaluate(many)) == 60000
+
+
+def plain_grams(text):
+    low = "".join(c if c.isalpha() else " " for c in text.lower())
+    line = " " + " ".join(low.split()) + " "
+    return Counter(line[i : i + 3] for i in range(len(line) - 2)) if line.strip() else {}
+
+
+def plain_gram(gram):
+    """Product of the letters' vectors, each turned by its place."""
+    out = np.ones(language_id.DIM)
+    for place, c in enumerate(gram):
+        bits = language_id.letter_bits(np.array([0 if c == " " else ord(c)]), 20)[0]
+        out *= np.roll(1 - 2.0 * bits, place)
+    return out
+
+
+def test_language_id_samples_each_language(spark):
+    """Rare languages are learned whole, frequent ones from about most_rows rows; letters of any script tell them apart."""
+    rows = [(k, "the and of that with this", "en") for k in range(3000)] + [(5000 + k, "สวัสดีชาวโลก ภาษาไทย", "th") for k in range(3)] + [(6000, "안녕하세요 세계 한국어", "ko"), (6001, None, "xx"), (6002, "free", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(table, most_rows=50)
+    assert model.langs == ["en", "ko", "th"]
+    assert [model.predict(t)[0] for t in ("and this", "ภาษาไทยโลก", "한국어 세계")] == ["en", "th", "ko"]
+    assert len({language_id.letter_bits(np.array([c]), 20).tobytes() for c in range(0xAC00, 0xAC00 + 5000)}) == 5000
+    with pytest.raises(RuntimeError, match="none was drawn"):
+        language_id.train(table.where("lang = 'en'"), most_rows=0)
+    long = spark.createDataFrame([("ภาษา ไทย " * 200_000,)], "text string")
+    assert [r.lang_pred for r in language_id.predicted(long, model, keep=()).collect()] == ["th"]
 
 
 def test_language_id(spark, small_dir):
@@ -186,6 +248,15 @@ def test_language_id(spark, small_dir):
     out = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert {d for d, r in got.items() if r.held_out} == {r.doc_id for r in out}
     assert np.mean([got[r.doc_id].lang_pred == r.lang for r in out]) > 0.95
+    # the query's rows are those of a plain computation over the same sample, which is whole here
+    rest = [r for r in rows if r not in out and r.text is not None and r.lang is not None]
+    vector = lambda text: sum((k * plain_gram(g) for g, k in plain_grams(text).items()), np.zeros(language_id.DIM))
+    langs = sorted({r.lang for r in rest})
+    sums = {lang: sum((vector(r.text) for r in rest if r.lang == lang), np.zeros(language_id.DIM)) for lang in langs}
+    for r in rows[::7]:
+        own = vector(r.text or "")
+        cosines = [float(own @ sums[lang] / np.sqrt((own @ own) * (sums[lang] @ sums[lang]))) for lang in langs]
+        assert got[r.doc_id].lang_pred == langs[int(np.argmax(cosines))] and abs(got[r.doc_id].score - max(0.0, *cosines)) < 1e-9
     model = language_id.train(docs)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (4, "日本"), (4, "日本")], "score long, text string")
     assert [r.lang_pred == "und" for r in language_id.predicted(odd, model, keep=()).collect()] == [True, True, True, False, False]
@@ -194,6 +265,10 @@ def test_language_id(spark, small_dir):
 
 
 def test_secrets(spark):
+    values = ['password = "Summer2024!" ', "db_password: 'hunter2!x' ", 'secret = "correct-horse-battery-staple"', 'pwd="pA9!kd#02lq$Zx81mn"', "token: 1234567890 "]
+    assert [[t[a:b] for a, b in secret_forest.candidates(t)] for t in values] == [["Summer2024!"], ["hunter2!x"], ["correct-horse-battery-staple"], ["pA9!kd#02lq$Zx81mn"], ["1234567890"]]
+    kept = secret_forest.secret_scan(spark.createDataFrame([(k, t) for k, t in enumerate([*values, "password: required", 'password = "changeme"', "token = ${TOKEN} "])], "doc_id int, text string"))
+    assert {r.doc_id: len(r.findings) for r in kept.collect()} == {k: int(k < 5) for k in range(8)}
     found = secret_forest.labelled_findings(800, seed=77)  # not the ones the forest is trained from
     x = np.array([secret_forest.features(*f[:4]) for f in found])
     y = np.array([f[4] for f in found])
@@ -205,6 +280,35 @@ def test_secrets(spark):
     assert [len(got[k].findings) for k in (2, 3, 4, 5)] == [0, 0, 0, 0] and got[5].n_candidates == 1
 
 
+def test_secret_query(spark, small_dir):
+    """The query against one text after the other; every planted key is found, and little else."""
+    folder = str(Path(small_dir).with_name("sf0.01"))  # the smallest folder has no planted keys
+    forest, rows = secret_forest.default_forest(), spark.read.parquet(f"{folder}/documents.parquet").collect()
+    got, planted, found = {r.doc_id: r for r in queries.op6_secret_forest(spark, folder).collect()}, 0, 0
+    for r in rows:
+        spans = secret_forest.candidates(r.text or "")
+        scores = [float(forest.predict(np.array([secret_forest.features(r.text[a:b], r.text[max(0, a - 40) : a], r.text[b : b + 40], r.source or "")]))[0]) for a, b in spans]
+        kept = [(a, b) for (a, b), s in zip(spans, scores) if s >= 0.5]
+        assert (got[r.doc_id].n_candidates, got[r.doc_id].spans) == (len(spans), ",".join(f"{a}-{b}" for a, b in kept))
+        keys = {m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or "")}
+        assert keys <= set(kept)
+        planted, found = planted + len(keys), found + len(kept)
+    assert planted > 0 and found <= planted * 1.1 + 1
+
+
+def test_secret_findings_and_words_from_tables(spark):
+    known = [(*f[:4], f[4]) for f in secret_forest.labelled_findings(300)] + [(None, "", "", "", 1), ("x", None, None, None, None)]
+    table = spark.createDataFrame(known, "candidate string, before string, after string, path string, label int")
+    forest = secret_forest.train_table(table)
+    x = np.array([secret_forest.features(*f[:4]) for f in known[:300]])
+    assert ((forest.predict(x) >= 0.5) == np.array([f[4] for f in known[:300]])).mean() > 0.95
+    assert len(secret_forest.train_table(table, most_rows=60).made) == 20
+    with pytest.raises(ValueError, match="no labelled"):
+        secret_forest.train_table(table.limit(0))
+    docs = spark.createDataFrame([("one two two three",), ("two three",), (None,)], "text string")
+    assert secret_forest.learned_words(docs, 2) == {"two", "three"}
+
+
 def slow_decode(media):
     """The same file without the scans read as arrays."""
     held, progressive_jpeg.scan_array = progressive_jpeg.scan_array, lambda *a: False
@@ -214,6 +318,11 @@ def slow_decode(media):
         progressive_jpeg.scan_array = held
 
 
+def test_media_of_a_long_text():
+    payload = np.random.default_rng(4).integers(0, 256, 64 * (6 * 32767 + 60), dtype=np.uint8).tobytes()
+    assert progressive_jpeg.payload_of(progressive_jpeg.decode(progressive_jpeg.encode(payload))) == payload
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 6, 7, 40])
 def test_media_round_trip(n):
     payload = bytes(random.Random(n).randrange(256) for _ in range(64 * n))
