@@ -17,6 +17,12 @@ def classified(items: DataFrame, text: str = "text", position: str = "position",
     return out.withColumn("file_name", T.item_file_name(F.col("item_number"), F.col("section_id"), F.col("operation")))
 
 
+def limited(items: DataFrame, section: str | None = None, limit: int | None = None, position: str = "position") -> DataFrame:
+    """The items of one section where one is asked for, and of those the first `limit` by position."""
+    asked = items if section is None else items.where(F.col("section_id") == T.section_id(F.lit(section)))
+    return asked if limit is None else asked.orderBy(position).limit(limit)
+
+
 def report(items: DataFrame, skip: Column | None = None) -> DataFrame:
     """One row: detected, written, skipped, suspicious_count and the suspicious items' file names in order."""
     skipped = F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False)

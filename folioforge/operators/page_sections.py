@@ -137,6 +137,25 @@ def continue_tables(tables: DataFrame) -> DataFrame:
     return tables.groupBy("doc").applyInPandas(fold, TABLES)
 
 
+def amendments_named(bands: DataFrame) -> DataFrame:
+    """page, error for pages whose header or footer (see layout.header_footer) names an amendment."""
+    found = bands.withColumn("__t", F.concat_ws(" ", "header", "footer")).where(X.names_amendment(F.col("__t")))
+    return found.select("page", X.error_text(F.lit("AMENDMENT_DETECTED"), F.col("page"), F.col("__t")).alias("error"))
+
+
+def page_spans(sections: DataFrame) -> DataFrame:
+    """doc, section_id, pages (`a` or `a–b`), contiguous: whether the section's pages (an array) follow each other."""
+    first, last, n = F.array_min("pages"), F.array_max("pages"), F.size(F.array_distinct("pages"))
+    span = F.when(first == last, first.cast("string")).otherwise(F.concat(first.cast("string"), F.lit("–"), last.cast("string")))
+    return sections.select("doc", "section_id", span.alias("pages"), (last - first + 1 == n).alias("contiguous"))
+
+
+def with_following(lines: DataFrame) -> DataFrame:
+    """lines (doc, page, line_no, text) with the text of the next line and of the one after it on the same page."""
+    own = Window.partitionBy("doc", "page").orderBy("line_no")
+    return lines.withColumn("following", F.lead("text", 1).over(own)).withColumn("after_following", F.lead("text", 2).over(own))
+
+
 def integrity(sections: DataFrame) -> DataFrame:
     """doc, section_id, found: bodies with another section's heading in them; none where all is well."""
     body = sections.select("doc", "section_id", F.posexplode(F.split("body", "\n")).alias("n", "line")).where("n > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), unequal.cast("double")).when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
+def searched(spark: SparkSession, chunks: DataFrame, query: str | None, embed, k: int = 5, order: str = "ord") -> DataFrame:
+    """The k best chunks for a text: a blank one and a corpus without chunks have none, without a call of the model."""
+    bare = (query or "").strip()
+    if not bare or not chunks.limit(1).count():
+        return chunks.limit(0)
+    return top_k(chunks, embed([bare])[0], k, order=order).drop("score")
+
+
 def top_k(chunks: DataFrame, query: list[float], k: int, vector: str = "embedding", order: str = "ord", per: str | None = None) -> DataFrame:
     """The k best rows of chunks by cosine with query, ties by `order`; with `per`, the k best of each of its values.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,46 @@ def read_source_text(spark: SparkSession, path: str, extract=None) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
 
 
+INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def load_index(spark: SparkSession, name: str, root: str, aliases: dict[str, str] | None = None, paths: dict[str, str] | None = None) -> DataFrame:
+    """The chunks of a corpus: its mapped path under root, else <id>/<id>.index.json; kept for the session by canonical id.
+
+    A missing file is an error that names the corpus and the path.
+    """
+    own = corpus_id(name, aliases)
+    path = f"{root.rstrip('/')}/{(paths or {}).get(own, f'{own}/{own}.index.json')}"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in INDEXES:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            raise FileNotFoundError(f"no index file for corpus '{own}' at {path}")
+        INDEXES[key] = read_index(spark, path).cache()
+    return INDEXES[key]
+
+
+def allowed_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """sha256 of the lines of an allowlist; blank lines and comments (#) don't count. A missing list is created empty."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        warnings.warn(f"no allowlist at {path}: an empty one is made", stacklevel=2)
+        store.setWriteChecksum(False)  # the list is edited by hand later
+        store.create(place, False).close()
+        store.setWriteChecksum(True)
+    lines = spark.read.text(path).select(F.lower(F.trim(F.split("value", r"[\s#]")[0])).alias("sha256"))
+    return lines.where("sha256 != ''").distinct()
+
+
+def require_allowed(files: DataFrame, allowed: DataFrame) -> DataFrame:
+    """files (path, content) if the hash of each is allowed; otherwise an error that names the first that isn't."""
+    odd = check_hashes(files, allowed).where("not allowed").orderBy("path").first()
+    if odd is not None:
+        raise ValueError(f"RULE=PDF_HASH_UNKNOWN detail={odd.path} {odd.sha256}")
+    return files
+
+
 def check_hashes(files: DataFrame, allowed: DataFrame) -> DataFrame:
     """path, sha256, allowed of files (path, content) against allowed (sha256)."""
     hashed = files.select("path", F.sha2("content", 256).alias("sha256"))
