@@ -9,20 +9,20 @@ from . import patterns as P
 from . import text as T
 
 
-def has_dot_leaders(text: Column) -> Column:
+def dotted(text: Column) -> Column:
     return text.rlike(P.DOT_LEADERS)
 
 
 def has_prose_mark(text: Column) -> Column:
-    return ~has_dot_leaders(text) & text.rlike(P.PROSE_MARK)
+    return ~dotted(text) & text.rlike(P.PROSE_MARK)
 
 
-def ends_with_page_reference(text: Column) -> Column:
+def ends_in_page_number(text: Column) -> Column:
     return text.rlike(P.PAGE_REFERENCE)
 
 
 def is_toc_reference(text: Column) -> Column:
-    return has_dot_leaders(text) & ends_with_page_reference(text)
+    return dotted(text) & ends_in_page_number(text)
 
 
 def is_toc_continuation(text: Column, following: Column) -> Column:
@@ -39,7 +39,7 @@ def is_appendix_reference(text: Column) -> Column:
 
 def is_appendix_toc(text: Column) -> Column:
     bare = T.trim(text)
-    return is_appendix_reference(text) & (has_dot_leaders(bare) | ends_with_page_reference(bare) | ((bare == F.upper(bare)) & ~has_prose_mark(bare)))
+    return is_appendix_reference(text) & (dotted(bare) | ends_in_page_number(bare) | ((bare == F.upper(bare)) & ~has_prose_mark(bare)))
 
 
 def is_repeated_keyword(text: Column) -> Column:

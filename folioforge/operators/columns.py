@@ -150,7 +150,7 @@ def gutter_line_fits() -> Column:
     numbers = bare.rlike(r"^(?=.*[0-9])[0-9().]{1,3}\z") & slim
     tiny = (F.length(bare).between(1, 3)) & slim & in_gutter(0.0)
     prose = X.has_prose_mark(text) & ~(note | symbol | marks | numbers | tiny)
-    like = X.has_dot_leaders(text) | X.is_toc_reference(text) | X.is_appendix_reference(text) | X.is_repeated_keyword(text) | note | X.is_index_letter(text, x0, x1, width) | X.is_index_digit(text, x0, x1, width) | symbol | letters | marks | numbers | tiny
+    like = X.dotted(text) | X.is_toc_reference(text) | X.is_appendix_reference(text) | X.is_repeated_keyword(text) | note | X.is_index_letter(text, x0, x1, width) | X.is_index_digit(text, x0, x1, width) | symbol | letters | marks | numbers | tiny
     return ~meets_table() & (bare.rlike(r"^[A-Z]\z") | (~prose & like & ~bare.rlike(P.PAGE_SECTION_LINE)))
 
 

@@ -39,6 +39,11 @@ TOKENS = """SELECT p_partkey AS token_id, cast(floor(p_partkey / 200.0) AS bigin
        cast(floor((p_partkey % 200) / 10.0) AS double) * 14.0 + cast(p_partkey % 3 AS double) * 0.5 AS top,
        cast(floor((p_partkey % 200) / 10.0) AS double) * 14.0 + cast(p_partkey % 3 AS double) * 0.5 + 10.0 AS bottom, cast(p_size AS double) AS size FROM part"""
 
+PAGE_LINES = """SELECT doc_id, CASE doc_id % 24 WHEN 0 THEN concat('R301.', cast(doc_id % 9 AS string), ' Design . . . . . ', cast(doc_id AS string)) WHEN 1 THEN concat('TABLE OF  CONTENTS ', lang) WHEN 2 THEN 'T A B L E  OF CONTENTS' WHEN 3 THEN 'APPENDIX AB'
+       WHEN 4 THEN 'APPENDIX AB Scope; see there.' WHEN 5 THEN 'APPENDIX A ..... A-1' WHEN 6 THEN 'section  Section' WHEN 7 THEN concat('SECTION R', cast(100 + doc_id % 800 AS string)) WHEN 8 THEN concat('R', cast(100 + doc_id % 800 AS string), ' General rule')
+       WHEN 9 THEN concat('R', cast(100 + doc_id % 800 AS string), '.1(2) General') WHEN 10 THEN concat('R', cast(100 + doc_id % 800 AS string), ' lower') WHEN 11 THEN 'Chapter 12B Title' WHEN 12 THEN 'Utah amended text' WHEN 13 THEN 'TABLE R301.2(1) Loads, CONTINUED'
+       WHEN 14 THEN 'Is it so? Yes' WHEN 15 THEN 'no mark here' WHEN 16 THEN 'page 17' WHEN 17 THEN concat(source, ' ... ... A-12 ') WHEN 18 THEN '' WHEN 19 THEN 'appendix ZZ lower' WHEN 20 THEN concat('RE1001.2.3.4 ', source) WHEN 21 THEN 'Part part' WHEN 22 THEN NULL ELSE concat(lang, ': ', cast(n_chars AS string)) END AS line FROM documents"""
+
 REGISTRY = """SELECT * FROM (VALUES (0, 'base', 'Base code', false, cast(NULL AS string)), (1, 'base-amend', 'Amendments', true, 'base'), (2, 'base-amend-2', 'Later amendments', true, 'base'), (3, 'other', 'Other code', cast(NULL AS boolean), cast(NULL AS string))) AS r(ord, id, label, is_amendment, base_id)"""
 
 

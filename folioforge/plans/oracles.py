@@ -87,7 +87,26 @@ QUESTIONS = "SELECT item_id, CASE item_id % 4 WHEN 0 THEN concat('what about R30
 CODE = r"(regexp_matches({x}, '(?i)\b([a-z]\d{{3,}}(\.\d+)*)\b') OR regexp_matches({x}, '\b\d{{1,3}}-\d{{1,3}}-\d+(\.\d+)?\b'))"
 HISTORY = "SELECT *, count(*) OVER w AS n_history, last_value(CASE WHEN role = 'user' AND trim(text) <> '' THEN trim(text) END IGNORE NULLS) OVER w AS last_query FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"
 
+# a frame and two inner lines around the tokens of each page, snapped and merged
+RULED = f"""
+t AS (SELECT * FROM ({D.TOKENS})), g AS (SELECT page, max(x1) AS w, max(bottom) AS h FROM t GROUP BY page),
+e AS (SELECT page, unnest([{{'x0': 0.0, 'x1': 200.0, 'a': y, 'b': y}} FOR y IN [0.0, 140.2, h]] || [{{'x0': 199.0, 'x1': w, 'a': y, 'b': y}} FOR y IN [0.0, 140.2, h]] || [{{'x0': x, 'x1': x, 'a': 0.0, 'b': h}} FOR x IN [0.0, 299.9, w]]) AS s FROM g),
+k AS (SELECT page, CASE WHEN abs(s.b - s.a) <= 1 THEN 'h' WHEN abs(s.x1 - s.x0) <= 1 THEN 'v' END AS orientation, s FROM e),
+n AS (SELECT page, orientation, round_even(CASE WHEN orientation = 'h' THEN (s.a + s.b) / 2 ELSE (s.x0 + s.x1) / 2 END / 0.5, 0) * 0.5 AS "at", round_even(CASE WHEN orientation = 'h' THEN s.x0 ELSE s.a END / 0.5, 0) * 0.5 AS start, round_even(CASE WHEN orientation = 'h' THEN s.x1 ELSE s.b END / 0.5, 0) * 0.5 AS stop FROM k),
+i AS (SELECT *, coalesce(CAST(start - max(stop) OVER (PARTITION BY page, orientation, "at" ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 2.0 AS INT), 1) AS opens FROM n WHERE stop - start >= 6.0),
+j AS (SELECT *, sum(opens) OVER (PARTITION BY page, orientation, "at" ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS k FROM i),
+ruled AS (SELECT page, orientation, "at", min(start) AS start, max(stop) AS stop FROM j GROUP BY page, orientation, "at", k)"""
+
 SQL = {
+    "rulings": f"WITH {RULED[1:]} SELECT page, orientation, \"at\" AS place, start, stop FROM ruled",
+    "table_grid": f"WITH {RULED[1:]}, b AS (SELECT page, orientation, \"at\" AS lo, lead(\"at\") OVER (PARTITION BY page, orientation ORDER BY \"at\") AS hi FROM ruled), c AS (SELECT y.page, x.lo AS x0, x.hi AS x1, y.lo AS a, y.hi AS b FROM b y JOIN b x ON x.page = y.page AND x.orientation = 'v' AND y.orientation = 'h' WHERE x.hi IS NOT NULL AND y.hi IS NOT NULL), f AS (SELECT c.page, c.x0, c.a, count(t.token_id) AS n FROM c LEFT JOIN t ON t.page = c.page AND (t.x0 + t.x1) / 2 BETWEEN c.x0 AND c.x1 AND (t.top + t.bottom) / 2 BETWEEN c.a AND c.b GROUP BY ALL) SELECT page, CAST(1 AS INT) AS table_no, CAST(count(DISTINCT a) AS INT) AS n_rows, CAST(count(DISTINCT x0) AS INT) AS n_cols, round(avg(CAST(n = 0 AS DOUBLE)), 6) AS empty_ratio, count(DISTINCT a) >= 2 AND count(DISTINCT x0) >= 2 AND avg(CAST(n = 0 AS DOUBLE)) <= 0.8 AS ok FROM f GROUP BY page",
+    "label_bind": f"WITH {RULED[1:]}, b AS (SELECT page, min(start) FILTER (WHERE orientation = 'h') AS x0, max(stop) FILTER (WHERE orientation = 'h') AS x1, min(\"at\") FILTER (WHERE orientation = 'h') + 100 AS a, max(\"at\") FILTER (WHERE orientation = 'h') AS b FROM ruled GROUP BY page), l AS (SELECT *, 'TABLE R30' || CAST(token_id % 7 AS VARCHAR) || ' Sizes' AS label FROM t WHERE token_id % 40 = 1), m AS (SELECT b.page, coalesce((max({{'b': l.bottom, 't': l.top, 'x': l.x0, 's': l.label}}) FILTER (WHERE l.bottom <= b.a AND b.a - l.bottom <= 60)).s, (min({{'t': l.top, 'x': l.x0, 's': l.label}}) FILTER (WHERE l.top BETWEEN b.a AND b.a + (b.b - b.a) * 0.15)).s) AS label FROM b LEFT JOIN l ON l.page = b.page AND l.x0 <= b.x1 AND l.x1 >= b.x0 GROUP BY b.page) SELECT page, CAST(1 AS INT) AS table_no, label, nullif(regexp_extract(label, '^TABLE\\s+([A-Z]{{1,3}}\\d{{3,4}})', 1), '') AS table_id FROM m",
+    "page_predicates": rf"""WITH l AS (SELECT doc_id, line, coalesce(line, '') AS x, regexp_matches(coalesce(line, ''), '(?:\.\s*){{3,}}') AS d, regexp_matches(coalesce(line, ''), '(?:\b[A-Z]{{1,3}}-\d+\b\s*|\b\d+\b\s*)$') AS n, regexp_matches(coalesce(line, ''), '(?i)^\s*APPENDIX\s+[A-Z]{{1,3}}\b') AS a FROM ({D.PAGE_LINES})),
+h AS (SELECT *, regexp_extract(x, '(?i)^\s*([A-Z]{{1,3}}\d{{3,4}}(?:\.\d+){{0,6}})\b(.*)$', 2) AS r, nullif(regexp_extract(x, '(?i)^\s*([A-Z]{{1,3}}\d{{3,4}}(?:\.\d+){{0,6}})\b(.*)$', 1), '') AS i FROM l),
+g AS (SELECT *, CASE WHEN i IS NOT NULL AND NOT starts_with(r, '(') AND regexp_matches(ltrim(r), '^\p{{Lu}}') THEN i END AS heading, NOT d AND regexp_matches(x, '[.!?;:]') AS prose FROM h)
+SELECT doc_id, d AS dotted, prose, n AS numbered, d AND n AS toc, regexp_matches(x, '(?i)^\s*(?:(?:SECTION\s+)?[A-Z]{{1,3}}\d{{3,4}}(?:\.\d+)*\b|APPENDIX\s+[A-Z]{{1,3}}\b)') AS toc_on, contains(upper(regexp_replace(x, '\s+', '', 'g')), 'TABLEOFCONTENTS') AS toc_head, a AS appendix, a AND (d OR regexp_matches(trim(x), '(?:\b[A-Z]{{1,3}}-\d+\b\s*|\b\d+\b\s*)$') OR (trim(x) = upper(trim(x)) AND NOT prose)) AS appendix_toc,
+regexp_matches(x, '(?i)^\s*(?:SECTION\s+SECTION|APPENDIX\s+APPENDIX|TABLE\s+TABLE|FIGURE\s+FIGURE|CHAPTER\s+CHAPTER|PART\s+PART)\s*$') AS repeated, regexp_matches(x, '(?i)\b(?:UTAH|STATE|AMENDED|MODIFIED|AMENDMENTS)\b') AS amends, contains(upper(x), 'TABLE') AND contains(upper(x), 'R301.2(1)') AND contains(upper(x), 'CONTINUED') AS goes_on,
+heading, nullif(regexp_extract(x, '(?i)^\s*SECTION\s+([A-Z]{{1,3}}\d{{3,4}}(?:\.\d+){{0,6}})\b', 1), '') AS marker, nullif(regexp_extract(x, '(?i)^CHAPTER\s+([A-Z0-9]+)\b', 1), '') AS chapter, CAST(len(regexp_extract_all(heading, '\d+')) AS INT) AS depth, nullif(regexp_extract(x, '(?i)^TABLE\s+([A-Z]{{1,3}}\d{{3,4}}(?:\.\d+)*(?:\([0-9A-Z]+\))?)\b\.?\s*(.*)?$', 1), '') AS table_id, x AS cell FROM g""",
     "vector_topk": f"SELECT e.vec_id, round({COSINE}, 6) AS score FROM embeddings e, {QUERY} ORDER BY {COSINE} DESC, e.vec_id LIMIT 6",
     "vector_topk_per_corpus": f"SELECT label, CAST(rank AS INT) AS rank, vec_id, round(score, 6) AS score FROM (SELECT label, vec_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT e.label, e.vec_id, {COSINE} AS score FROM embeddings e, {QUERY})) WHERE rank <= 6",
     "search_preview": f"SELECT doc_id, codebook_id, source_path, array_to_string(list_transform(list_filter(range(1, least(length(text), 500) + 1), lambda i: i + length(regexp_replace(substring(text, 1, i), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) <= 500), lambda i: substring(text, i, 1)), '') AS preview FROM ({D.TEXTS}) WHERE doc_id IN (SELECT vec_id FROM (SELECT e.vec_id FROM embeddings e, {QUERY} ORDER BY {COSINE} DESC, e.vec_id LIMIT 5))",

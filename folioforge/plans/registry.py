@@ -282,8 +282,20 @@ def turned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.tables_by_rotation(page_rulings(spark, sf_dir), chars, page_sizes(words))
 
 
+def page_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lines of pages are by their text alone; null lines are nothing."""
+    line = F.col("line")
+    following = F.lit("R302 Next . . . . 12")
+    found = {
+        "dotted": X.dotted(line), "prose": X.has_prose_mark(line), "numbered": X.ends_in_page_number(line), "toc": X.is_toc_reference(line), "toc_on": X.is_toc_continuation(line, following), "toc_head": X.is_toc_header(line),
+        "appendix": X.is_appendix_reference(line), "appendix_toc": X.is_appendix_toc(line), "repeated": X.is_repeated_keyword(line), "amends": X.names_amendment(line), "goes_on": X.has_continued_mark(line, F.lit("r301.2(1)")),
+    }
+    rows = D.derived(spark, sf_dir, D.PAGE_LINES)
+    return rows.select("doc_id", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in found.items()), X.true_heading(line).alias("heading"), X.section_marker(line).alias("marker"), X.chapter(line).alias("chapter"), X.depth(X.true_heading(line)).alias("depth"), X.table_label(line)["id"].alias("table_id"), X.clean_cell(line).alias("cell"))
+
+
 def rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.ruling_lines(page_rulings(spark, sf_dir))
+    return layout.ruling_lines(page_rulings(spark, sf_dir)).withColumnRenamed("at", "place")
 
 
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +345,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         vector_topk, vector_topk_per_corpus, search_preview, registry_labels, doc_lines, greedy_chunks, chunk_ids, header_parse, filename_meta, section_split, item_split, op_classify, item_validate, extract_report, amendment_info,
         context_build, amendment_refs, answer_check, quote_check, code_like, session_window, effective_query, structure_extract, structure_match, page_median, page_percentile, line_build, rulings, table_grid, label_bind, section_stack, table_continuation, page_columns, turned_tables,
-        quotes_raw, search_flow, ask_flow,
+        quotes_raw, search_flow, ask_flow, page_predicates,
     )
     return {q.__name__: q for q in own} | {f"amendment_override_{k}": override(k) for k in ("normal", "empty", "null")}
 
