@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import patterns as P
 from folioforge.functions import text as T
 from folioforge.operators import amendments, answer, session, vector
+from folioforge.operators.columns import settled
 
 BODY = "query string, codebookId string, topK int, includeAmendments boolean, responseMode string, sessionId string"
 Embed = Callable[[list[str]], list[list[float]]]
@@ -92,13 +93,21 @@ def top_of_each(chunks: DataFrame, asked: DataFrame) -> DataFrame:
 
     A query is scored against every chunk of its corpus; ranks are kept to k within each partition before the shuffle.
     """
-    few = asked.select("request_id", F.col("corpus").alias("__corpus"), "k", "vector")
+    few = asked.select("request_id", F.col("corpus").alias("__corpus"), "k", "vector", vector.length(F.col("vector")).alias("__b"))
     if few.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
         few = F.broadcast(few)
-    scored = chunks.join(few, F.col("corpus") == F.col("__corpus")).withColumn("score", vector.cosine(F.col("embedding"), F.col("vector")))
+    known = chunks.withColumn("__a", vector.length(F.col("embedding")))
+    scored = known.join(few, F.col("corpus") == F.col("__corpus")).withColumn("score", vector.cosine_of(F.col("embedding"), F.col("vector"), F.col("__a"), F.col("__b")))
     most = asked.agg(F.max("k")).first()[0] or 0
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "ord"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= F.col("k")).drop("__corpus", "vector", "embedding", "k")
+    best = scored.select("request_id", "k", "id", "ord", "corpus", "score").withColumn("rank", rank).where(F.col("rank") <= most).where(F.col("rank") <= F.col("k")).drop("k")
+    # the contents join once the best are known, which are few
+    found = settled(best)
+    ids = found.select(F.col("id").alias("__id"), F.col("corpus").alias("__corpus"), F.col("ord").alias("__ord"), "request_id", "score", "rank")
+    if ids.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
+        ids = F.broadcast(ids)
+    same = (F.col("corpus") == F.col("__corpus")) & (F.col("ord") == F.col("__ord")) & F.col("id").eqNullSafe(F.col("__id"))
+    return chunks.join(ids, same).drop("__id", "__corpus", "__ord", "embedding")
 
 
 def search(bodies: DataFrame, chunks: DataFrame, embed: Embed, default_corpus: str = "base", default_k: int = 5) -> DataFrame:
@@ -107,7 +116,7 @@ def search(bodies: DataFrame, chunks: DataFrame, embed: Embed, default_corpus: s
     chunks: id, corpus, ord, source_path, start_line, end_line, content, embedding. A corpus without chunks has no results.
     """
     asked = requests(bodies, default_corpus, default_k, zero_is_default=True)
-    vectors = embedded(asked.where("fault is null").select("request_id", "corpus", "k", "query"), "query", embed, "vector")
+    vectors = settled(embedded(asked.where("fault is null").select("request_id", "corpus", "k", "query"), "query", embed, "vector"))
     best = top_of_each(chunks, vectors)
     row = F.struct("rank", "id", F.col("source_path").alias("sourcePath"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), T.preview(F.col("content")).alias("contentPreview"))
     found = best.groupBy(F.col("request_id").alias("__id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
@@ -146,22 +155,22 @@ def ask(bodies: DataFrame, chunks: DataFrame, registry: DataFrame, embed: Embed,
     asked = asked.withColumn("fault", F.coalesce("fault", F.when(F.col("__base").isNull(), F.concat(F.lit("Invalid base codebookId: "), F.col("corpus")))))
     asked = session.effective_query(anchored(asked, history), "query")
 
-    vectors = embedded(asked.where("fault is null").select("request_id", "corpus", "amendment", "with_amendments", "k", "effective_query"), "effective_query", embed, "vector")
+    vectors = settled(embedded(asked.where("fault is null").select("request_id", "corpus", "amendment", "with_amendments", "k", "effective_query"), "effective_query", embed, "vector"))
     base = top_of_each(chunks, vectors)
-    amended = top_of_each(chunks, vectors.where("with_amendments and amendment is not null").withColumn("corpus", F.col("amendment")))
-    sources = answer.numbered_union(amended, overridden(base, amended), per=("request_id",)).withColumn("section_label", T.section_label(F.col("meta")))
+    amended = settled(top_of_each(chunks, vectors.where("with_amendments and amendment is not null").withColumn("corpus", F.col("amendment"))))
+    sources = settled(answer.numbered_union(amended, overridden(base, amended), per=("request_id",)).withColumn("section_label", T.section_label(F.col("meta"))))
     refs = answer.distinct_refs(amended.withColumn("section_label", T.section_label(F.col("meta"), with_section=True)), per=("request_id",))
 
     listed = by_request(sources, source_fields(), "sources").join(by_request(refs, source_fields(T.citation(F.col("source_id"), F.col("start_line"), F.col("end_line")).alias("citation"), F.col("content").alias("fullText")), "amendments"), "request_id", "full")
     texts = answer.context(sources, per=("request_id",))
     state = asked.join(listed, "request_id", "left").join(texts, "request_id", "left")
     prompt = F.when(F.col("context").isNotNull(), F.concat(F.lit(SELECT_TASK), F.lit("\n\nQuestion:\n"), F.col("query"), F.lit("\n\n"), F.col("context")))
-    chosen = replied(state.withColumn("prompt", prompt), "prompt", select, "raw")
+    chosen = settled(replied(state.withColumn("prompt", prompt), "prompt", select, "raw"))
     checked = answer.checked_selection(chosen.where("raw is not null").select("request_id", "raw"), sources.select("request_id", "source_id", "content"), key="request_id")
     lines = F.map_from_entries(F.transform("sources", lambda s: F.struct(s["sourceId"], F.struct(s["startLine"].alias("start_line"), s["endLine"].alias("end_line")))))
     kept = chosen.drop("raw", "prompt", "context").join(checked.select("request_id", "sections"), "request_id", "left").withColumn("organized", F.when(F.col("sections").isNotNull(), answer.organized(F.col("sections"), lines)))
     answered = replied(kept.withColumn("prompt", F.concat(F.lit(ANSWER_TASK), F.lit("\n\nQuestion:\n"), F.col("query"), F.lit("\n\n"), F.col("organized"))), "prompt", reply, "raw")
-    final = answered.withColumn("answer", F.coalesce(F.nullif(T.trim(F.col("raw")), F.lit("")), F.col("organized")))
+    final = settled(answered).withColumn("answer", F.coalesce(F.nullif(T.trim(F.col("raw")), F.lit("")), F.col("organized")))
     ok = F.coalesce(answer.answer_is_valid(F.col("answer")), F.lit(False))
     hint = F.coalesce(F.nullif(F.get("sources", 0)["sectionLabel"], F.lit("")), F.get("sources", 0)["sourcePath"])
     done = final.withColumn("ok", ok).withColumn("topic_hint", F.when(ok, hint))

@@ -12,7 +12,16 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """dot(a, b) over the norms in double precision; 0 for a zero norm; an error for unequal lengths."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return cosine_of(a, b, length(a), length(b))
+
+
+def length(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine_of(a: Column, b: Column, length_a: Column, length_b: Column) -> Column:
+    """The same with lengths that are known, as where one vector meets many."""
+    norm = length_a * length_b
     unequal = F.raise_error(F.concat(F.lit("vector lengths differ: "), F.size(a), F.lit(" and "), F.size(b)))
     return F.when(F.size(a) != F.size(b), unequal.cast("double")).when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
