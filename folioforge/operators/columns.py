@@ -192,10 +192,15 @@ def ordered_lines(words: DataFrame, tables: DataFrame, pages: DataFrame, page: s
     return numbered.select(page, "line_no", "column", "role", "text", "x0", "x1", "top", "bottom", "split", F.coalesce("own_error", "error").alias("error"))
 
 
-def turned(rows: DataFrame, angle: int) -> DataFrame:
-    """rows (x0, x1, top, bottom, and the page's width and height) after the page is turned by 0, 90 or 270 degrees."""
+def turned(rows: DataFrame, angle: int, ordered: bool = True) -> DataFrame:
+    """rows (x0, x1, top, bottom, and the page's width and height) after the page is turned by 0, 90 or 270 degrees.
+
+    Boxes are ordered; segments (ordered=False) keep which of their points is the first.
+    """
     w, h = F.col("width"), F.col("height")
     (ax, ay), (bx, by) = (layout.rotated(F.col(x), F.col(y), w, h, angle) for x, y in (("x0", "top"), ("x1", "bottom")))
+    if not ordered:
+        return rows.withColumns({"x0": ax, "x1": bx, "top": ay, "bottom": by})
     places = {"x0": F.least(ax, bx), "x1": F.greatest(ax, bx), "top": F.least(ay, by), "bottom": F.greatest(ay, by)}
     return rows.withColumns(places)
 
@@ -211,7 +216,7 @@ def tables_by_rotation(segments: DataFrame, chars: DataFrame, pages: DataFrame,
     size = pages.select(page, "width", "height")
     tried = []
     for angle in P.TABLE_ROTATIONS:
-        rulings = layout.ruling_lines(turned(segments.join(size, page), angle), page)
+        rulings = layout.ruling_lines(turned(segments.join(size, page), angle, ordered=False), page)
         found = layout.ruled_tables(rulings, page).join(size, page)
         swapped = found if angle == 0 else found.withColumns({"width": F.col("height"), "height": F.col("width")})
         tried.append(turned(swapped, -angle % 360).drop("width", "height").withColumn("rotation", F.lit(angle)))

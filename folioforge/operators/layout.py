@@ -31,9 +31,12 @@ def words_to_lines(words: DataFrame, page: str = "page", tolerance: float = P.LI
 
     Words by (top, x0) stay on a line while their top is within tolerance of the line's first word; gaps wider than half
     a character become blanks, as many as characters fit, half to even. Lines without text go.
-    metrics: char_metrics by page, of these words where none is given.
+    metrics: char_metrics by page, of these words where none is given. Words with a fontname give lines with `bold`, true
+    where any of the fonts is a bold one.
     """
-    word = F.struct("top", "x0", "x1", "bottom", "text", "size")
+    font = ["fontname"] if "fontname" in words.columns else []
+    word = F.struct("top", "x0", "x1", "bottom", "text", "size", *font)
+    bold = [F.coalesce(F.bool_or(F.contains(F.lower("fontname"), F.lit("bold"))), F.lit(False)).alias("bold")] if font else []
     pages = words.groupBy(page).agg(F.array_sort(F.collect_list(word)).alias("w")).withColumn("a", anchored(F.col("w"), tolerance, lambda v: v["top"]))
     each = pages.select(page, F.posexplode(F.arrays_zip("w", "a")).alias("pos", "z")).select(page, "pos", F.col("z.a").alias("anchor"), "z.w.*")
     own = Window.partitionBy(page, "anchor").orderBy("x0", "pos")
@@ -41,12 +44,29 @@ def words_to_lines(words: DataFrame, page: str = "page", tolerance: float = P.LI
     blanks = F.when(F.col("dx") > F.col("gap"), F.greatest(F.lit(1), F.bround(F.col("dx") / F.col("char_width")).cast("int"))).otherwise(0)
     joined = spaced.withColumn("piece", F.concat(F.repeat(F.lit(" "), blanks), F.col("text"))).withColumn("n", F.row_number().over(own))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda r: r["piece"]), "")
-    lines = joined.groupBy(page, "anchor").agg(text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.col("anchor").alias("top"), F.max("bottom").alias("bottom"), F.median("size").alias("size_median"), F.count("*").alias("n_words"))
+    lines = joined.groupBy(page, "anchor").agg(text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.col("anchor").alias("top"), F.max("bottom").alias("bottom"), F.median("size").alias("size_median"), F.count("*").alias("n_words"), *bold)
     return lines.where(F.trim("text") != "").withColumn("line_no", F.row_number().over(Window.partitionBy(page).orderBy("top"))).drop("anchor")
 
 
+def segments_of(shapes: DataFrame, page: str = "page") -> DataFrame:
+    """page, x0, x1, top, bottom of shapes (page, kind, x0, x1, top, bottom, y0, y1, height): rectangles give their four sides.
+
+    Heights from the page's foot (y0, y1) stand in where top or bottom is null; shapes without a place are left out.
+    """
+    known = F.col("top").isNotNull() & F.col("bottom").isNotNull()
+    top = F.when(known, F.col("top")).otherwise(F.col("height") - F.greatest("y0", "y1"))
+    bottom = F.when(known, F.col("bottom")).otherwise(F.col("height") - F.least("y0", "y1"))
+    placed = shapes.where(known | (F.col("y0").isNotNull() & F.col("y1").isNotNull())).select(page, "kind", "x0", "x1", top.alias("top"), bottom.alias("bottom")).dropna(subset=["x0", "x1", "top", "bottom"])
+    side = lambda x0, x1, t, b: F.struct(F.col(x0).alias("x0"), F.col(x1).alias("x1"), F.col(t).alias("top"), F.col(b).alias("bottom"))
+    sides = F.array(side("x0", "x1", "top", "top"), side("x0", "x1", "bottom", "bottom"), side("x0", "x0", "top", "bottom"), side("x1", "x1", "top", "bottom"))
+    return placed.select(page, F.explode(F.when(F.col("kind") == "rect", sides).otherwise(F.array(side("x0", "x1", "top", "bottom")))).alias("s")).select(page, "s.*")
+
+
 def ruling_lines(segments: DataFrame, page: str = "page") -> DataFrame:
-    """page, orientation (h, v), at, start, stop: nearly straight segments (x0, x1, top, bottom), snapped, merged, not short."""
+    """page, orientation (h, v), at, start, stop: nearly straight segments (x0, x1, top, bottom), snapped, merged, not short.
+
+    A slanting segment stands where its first point (x0, top) is.
+    """
     snap = lambda c: F.bround(c / P.RULING_SNAP) * P.RULING_SNAP
     dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("bottom") - F.col("top"))
     kind = F.when(dy <= P.RULING_SLANT, F.lit("h")).when(dx <= P.RULING_SLANT, F.lit("v"))
@@ -54,7 +74,7 @@ def ruling_lines(segments: DataFrame, page: str = "page") -> DataFrame:
     flat = F.col("orientation") == "h"
     low, high = F.least("x0", "x1"), F.greatest("x0", "x1")
     up, down = F.least("top", "bottom"), F.greatest("top", "bottom")
-    s = s.select(page, "orientation", snap(F.when(flat, (F.col("top") + F.col("bottom")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2)).alias("at"), snap(F.when(flat, low).otherwise(up)).alias("start"), snap(F.when(flat, high).otherwise(down)).alias("stop"))
+    s = s.select(page, "orientation", snap(F.when(flat, F.col("top")).otherwise(F.col("x0"))).alias("at"), snap(F.when(flat, low).otherwise(up)).alias("start"), snap(F.when(flat, high).otherwise(down)).alias("stop"))
     own = Window.partitionBy(page, "orientation", "at").orderBy("start", "stop")
     reach = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
     islands = s.where(F.col("stop") - F.col("start") >= P.RULING_LEAST).withColumn("new", F.coalesce((F.col("start") - reach > P.MERGE_GAP).cast("int"), F.lit(1)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import page_text as X
+from folioforge.functions import patterns as P
 
 SECTIONS = "doc string, section_id string, depth int, start_page int, end_page int, chapter string, body string, error string"
 
@@ -18,8 +19,11 @@ def section_stack(lines: DataFrame) -> DataFrame:
 
     A heading closes sections as deep as its own or deeper; a `SECTION` marker closes one and isn't emitted, so what
     follows belongs to the parent; text goes to the innermost open section, which alone moves its end page.
+    Optional columns: contents (lines of a page of contents, which don't count), apart (lines that aren't body text: see
+    set_apart). Lines apart are left out of the bodies, and a heading among them is an error.
     """
-    marked = lines.select("doc", "page", "line_no", "text", X.true_heading(F.col("text")).alias("heading"), X.section_marker(F.col("text")).alias("marker"), X.chapter(F.col("text")).alias("chapter"))
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in lines.columns else F.lit(False).alias(c) for c in ("contents", "apart")]
+    marked = lines.select("doc", "page", "line_no", "text", *flags, X.true_heading(F.col("text")).alias("heading"), X.section_marker(F.col("text")).alias("marker"), X.chapter(F.col("text")).alias("chapter"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["page", "line_no"])
@@ -30,21 +34,23 @@ def section_stack(lines: DataFrame) -> DataFrame:
         for r in pdf.itertuples():
             if r.page != last:
                 chapter, last = first.get(r.page, chapter), r.page
+            if r.contents:
+                continue
             if isinstance(r.marker, str):
                 if stack:
                     close()
                 continue
             if isinstance(r.heading, str):
                 own = r.heading
-                if own in seen:
-                    rule = "SECTION_APPEND_VIOLATION" if stack and stack[-1][0] == own else "SECTION_DUPLICATE"
+                if r.apart or own in seen:
+                    rule = "SECTION_HEADER_SKIPPED" if r.apart else "SECTION_APPEND_VIOLATION" if stack and stack[-1][0] == own else "SECTION_DUPLICATE"
                     return pd.DataFrame([[doc, own, None, r.page, r.page, chapter, None, f"RULE={rule} PDF_PAGE={r.page} detail={own}"]], columns=[c.split()[0] for c in SECTIONS.split(", ")])
                 level = len(re.findall(r"\d+", own))
                 while stack and level <= stack[-1][1]:
                     close()
                 seen.add(own)
                 stack.append([own, level, r.page, r.page, chapter, [r.text]])
-            elif stack:
+            elif stack and not r.apart:
                 stack[-1][3] = r.page
                 stack[-1][5].append(r.text)
         while stack:
@@ -55,6 +61,21 @@ def section_stack(lines: DataFrame) -> DataFrame:
     return marked.groupBy("doc").applyInPandas(fold, SECTIONS)
 
 
+def set_apart(lines: DataFrame, labels: DataFrame, notes: DataFrame) -> DataFrame:
+    """lines (doc, page, line_no, text, top, and role where columns.ordered_lines gave one) with `apart`.
+
+    Apart are spanning references, the lines of table labels (doc, page, top, text: the same text at the same height, give
+    or take the tolerance of lines) and of footnotes (doc, page, top: the same height). A page has few of either.
+    """
+    marks = labels.groupBy("doc", "page").agg(F.collect_list(F.struct("top", "text")).alias("__labels"))
+    feet = notes.groupBy("doc", "page").agg(F.collect_set("top").alias("__notes"))
+    on = lambda l: (F.abs(l["top"] - F.col("top")) <= P.LINE_TOLERANCE) & (l["text"] == F.col("text"))
+    spans = F.col("role") == "spanning_reference" if "role" in lines.columns else F.lit(False)
+    found = [F.coalesce(c, F.lit(False)) for c in (spans, F.exists("__labels", on), F.array_contains("__notes", F.col("top")))]
+    held = lines.join(marks, ["doc", "page"], "left").join(feet, ["doc", "page"], "left")
+    return held.withColumn("apart", found[0] | found[1] | found[2]).drop("__labels", "__notes")
+
+
 def fallback_pages(lines: DataFrame, sections: DataFrame) -> DataFrame:
     """doc, page, file_name, content of each page of the documents that have no row in sections."""
     rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))
@@ -84,57 +105,73 @@ def resolve_table_ids(tables: DataFrame) -> DataFrame:
     return rows.withColumn("table_id", F.coalesce("continued_from", "__id")).drop("__id", "__base", "__last")
 
 
-def continue_tables(tables: DataFrame) -> DataFrame:
+def continue_tables(tables: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Tables merged over pages. Input: doc, page, idx, table_id, columns, rows, touches_bottom, rotation, continued.
 
-    A table at its page's bottom stays open; on the next page one with its id goes on with it if it is marked as continued
-    or has the same columns. Failing documents give one row with the error.
+    A table at its page's bottom stays open. On the next page one with its id goes on with it if a label there marks it as
+    continued, or if the columns are the same and a label there names it. Without such a table the open one ends, but a
+    label that marks it as continued, one that names it on a page without tables, and a table with its id that isn't proven
+    to go on are errors; so are two that could go on, another rotation, two open tables and one open at the end. A failing
+    document gives one row with its error.
+
+    pages: doc, page, labels (texts of the page's label lines), one row for every page. Where none are given, the pages are
+    those with tables and what lies between, and a table's id and `continued` stand for its label.
     """
     names = [c.split()[0] for c in TABLES.split(", ")]
+    label = re.compile(P.TABLE_LABEL)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(pdf: pd.DataFrame, given: pd.DataFrame | None = None) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame([], columns=names)
         pdf, doc = pdf.sort_values(["page", "idx"]), pdf["doc"].iloc[0]
         failed = lambda page, why: pd.DataFrame([[doc, None, page, page, None, None, f"RULE=TABLE_CONTINUATION PDF_PAGE={page} detail={why}"]], columns=names)
-        done, pending, closed = [], None, set()
-        for page, own in pdf.groupby("page"):
-            rows = list(own.itertuples())
+        own = {page: list(rows.itertuples()) for page, rows in pdf.groupby("page")}
+        texts = {} if given is None else {r.page: [] if r.labels is None else [t for t in r.labels if t is not None] for r in given.itertuples()}
+        done, pending = [], None
+        for page in sorted({*own, *texts}):
+            rows = own.get(page, [])
+            if pending is not None and given is None and page > pending["end"] + 1:
+                done.append(pending)
+                pending = None
             if pending is not None:
                 same = [r for r in rows if r.table_id == pending["id"]]
-                if page != pending["end"] + 1:
-                    return failed(page, "the open table isn't on the next page")
-                if len(same) > 1:
+                if given is None:
+                    marked, named = any(r.continued for r in same), bool(same)
+                else:
+                    upper = [t.upper() for t in texts.get(page, [])]
+                    marked = any("TABLE" in t and pending["id"].upper() in t and "CONTINUED" in t for t in upper)
+                    named = any(label.match(t.strip()) and pending["id"] in t.upper() for t in texts.get(page, []))
+                on = [r for r in same if marked or (named and list(r.columns) == pending["columns"])]
+                if len(on) > 1:
                     return failed(page, "two tables with the open one's id")
-                if same and same[0].rotation != pending["rotation"]:
+                if on and on[0].rotation != pending["rotation"]:
                     return failed(page, "rotation differs")
-                if same and (same[0].continued or list(same[0].columns) == pending["columns"]):
-                    pending["rows"] += [list(r) for r in same[0].rows]
+                if on:
+                    pending["rows"] += [list(x) for x in on[0].rows]
                     pending["end"] = page
-                    rows.remove(same[0])
-                    if same[0].touches_bottom:
-                        if any(r.touches_bottom for r in rows):
-                            return failed(page, "two open tables")
-                    else:
-                        closed.add(pending["id"])
-                        done.append(pending)
-                        pending = None
-                else:
-                    return failed(page, "the open table doesn't go on")
+                    rows.remove(on[0])
+                elif marked or (named and not rows):
+                    return failed(page, "a label of the open table without its grid")
+                elif same:
+                    return failed(page, "the open table's id comes again without proof")
+                if not on or not on[0].touches_bottom:
+                    done.append(pending)
+                    pending = None
             for r in rows:
-                if r.table_id in closed:
-                    return failed(page, "a closed table comes again")
                 new = {"id": r.table_id, "start": page, "end": page, "columns": list(r.columns), "rows": [list(x) for x in r.rows], "rotation": r.rotation}
-                if r.touches_bottom:
-                    if pending is not None:
-                        return failed(page, "two open tables")
-                    pending = new
-                else:
-                    closed.add(r.table_id)
+                if not r.touches_bottom:
                     done.append(new)
+                elif pending is not None:
+                    return failed(page, "two open tables")
+                else:
+                    pending = new
         if pending is not None:
             return failed(pending["end"], "still open at the end")
         return pd.DataFrame([[doc, t["id"], t["start"], t["end"], t["columns"], t["rows"], None] for t in done], columns=names)
 
-    return tables.groupBy("doc").applyInPandas(fold, TABLES)
+    if pages is None:
+        return tables.groupBy("doc").applyInPandas(lambda pdf: fold(pdf), TABLES)
+    return tables.groupBy("doc").cogroup(pages.select("doc", "page", "labels").groupBy("doc")).applyInPandas(fold, TABLES)
 
 
 def amendments_named(bands: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ RULED = f"""
 t AS (SELECT * FROM ({D.TOKENS})), g AS (SELECT page, max(x1) AS w, max(bottom) AS h FROM t GROUP BY page),
 e AS (SELECT page, unnest([{{'x0': 0.0, 'x1': 200.0, 'a': y, 'b': y}} FOR y IN [0.0, 140.2, h]] || [{{'x0': 199.0, 'x1': w, 'a': y, 'b': y}} FOR y IN [0.0, 140.2, h]] || [{{'x0': x, 'x1': x, 'a': 0.0, 'b': h}} FOR x IN [0.0, 299.9, w]]) AS s FROM g),
 k AS (SELECT page, CASE WHEN abs(s.b - s.a) <= 1 THEN 'h' WHEN abs(s.x1 - s.x0) <= 1 THEN 'v' END AS orientation, s FROM e),
-n AS (SELECT page, orientation, round_even(CASE WHEN orientation = 'h' THEN (s.a + s.b) / 2 ELSE (s.x0 + s.x1) / 2 END / 0.5, 0) * 0.5 AS "at", round_even(CASE WHEN orientation = 'h' THEN s.x0 ELSE s.a END / 0.5, 0) * 0.5 AS start, round_even(CASE WHEN orientation = 'h' THEN s.x1 ELSE s.b END / 0.5, 0) * 0.5 AS stop FROM k),
+n AS (SELECT page, orientation, round_even(CASE WHEN orientation = 'h' THEN s.a ELSE s.x0 END / 0.5, 0) * 0.5 AS "at", round_even(CASE WHEN orientation = 'h' THEN s.x0 ELSE s.a END / 0.5, 0) * 0.5 AS start, round_even(CASE WHEN orientation = 'h' THEN s.x1 ELSE s.b END / 0.5, 0) * 0.5 AS stop FROM k),
 i AS (SELECT *, coalesce(CAST(start - max(stop) OVER (PARTITION BY page, orientation, "at" ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 2.0 AS INT), 1) AS opens FROM n WHERE stop - start >= 6.0),
 j AS (SELECT *, sum(opens) OVER (PARTITION BY page, orientation, "at" ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS k FROM i),
 ruled AS (SELECT page, orientation, "at", min(start) AS start, max(stop) AS stop FROM j GROUP BY page, orientation, "at", k)"""
@@ -143,4 +143,11 @@ SELECT doc, CAST(position AS BIGINT) AS position, min(doc_id) AS start_line, min
     "structure_match": rf"WITH {NAMES[1:]} SELECT doc_id, file_name FROM n WHERE (contains(lower(title), '54') OR contains({nz(r"regexp_extract(lower(file_name), 'title[-_\s]*([0-9a-z.\-]+)', 1)")}, '54')) AND (contains(lower(chapter), '54b-') OR contains({nz(r"regexp_extract(lower(file_name), 'chapter[-_\s]*([0-9]+(?:-[0-9a-z]+)+)', 1)")}, '54b-'))",
     "page_median": f"SELECT page, round(median((x1 - x0) / length(text)), 6) AS char_width, round(median((x1 - x0) / length(text)) * 0.5, 6) AS gap, round(median(size), 6) AS size_median FROM ({D.TOKENS}) GROUP BY page",
     "page_percentile": f"SELECT page, round(quantile_cont(x0, 0.05), 6) AS p5, round(quantile_cont(x0, 0.5), 6) AS p50, round(quantile_cont(x0, 0.95), 6) AS p95 FROM ({D.TOKENS}) GROUP BY page",
+    "section_stack": """WITH l AS (SELECT CAST(CAST(floor(doc_id / 1000.0) AS BIGINT) AS VARCHAR) AS doc, doc_id % 1000 AS n, lang FROM documents),
+t AS (SELECT doc, n, CAST(n // 40 AS INT) AS page, CASE WHEN n % 50 = 0 THEN 'CHAPTER ' || CAST(n // 50 AS VARCHAR) WHEN n % 10 = 1 THEN 'R' || CAST(100 + n // 10 AS VARCHAR) || ' General' WHEN n % 10 = 4 THEN 'R' || CAST(100 + n // 10 AS VARCHAR) || '.1 Scope' ELSE 'body ' || coalesce(lang, '') END AS text, 'R' || CAST(100 + n // 10 - CASE WHEN n % 10 = 0 THEN 1 ELSE 0 END AS VARCHAR) || CASE WHEN n % 10 IN (4, 5, 6) THEN '.1' ELSE '' END AS section_id FROM l WHERE n > 0 AND n % 10 <> 7)
+SELECT doc, section_id, CAST(CASE WHEN contains(section_id, '.') THEN 2 ELSE 1 END AS INT) AS depth, min(page) AS start_page, max(page) AS end_page, CAST((40 * min(page) + 39) // 50 AS VARCHAR) AS chapter, string_agg(text, chr(10) ORDER BY n) AS body, CAST(NULL AS VARCHAR) AS error FROM t GROUP BY doc, section_id""",
+    "table_continuation": """WITH t AS (SELECT CAST(CAST(floor(doc_id / 100.0) AS BIGINT) AS VARCHAR) AS doc, floor(doc_id / 100.0) % 5 AS kind, CAST(doc_id % 100 AS INT) AS n FROM documents),
+i AS (SELECT doc, kind, n, CASE WHEN kind = 4 AND n = 1 THEN 'T0c' WHEN n % 3 = 2 THEN 'T' || CAST(n // 3 AS VARCHAR) || 'b' ELSE 'T' || CAST(n // 3 AS VARCHAR) END AS table_id FROM t)
+SELECT doc, table_id, min(n) AS start_page, max(n) AS end_page, CAST(count(*) AS INT) AS n_rows, CAST(NULL AS VARCHAR) AS error FROM i WHERE kind IN (0, 4) GROUP BY doc, table_id
+UNION ALL SELECT DISTINCT doc, NULL, CASE WHEN kind = 2 THEN 99 ELSE 1 END, CASE WHEN kind = 2 THEN 99 ELSE 1 END, -1, 'RULE=TABLE_CONTINUATION PDF_PAGE=' || CASE kind WHEN 1 THEN '1 detail=rotation differs' WHEN 2 THEN '99 detail=still open at the end' ELSE '1 detail=the open table''s id comes again without proof' END FROM i WHERE kind IN (1, 2, 3)""",
 }

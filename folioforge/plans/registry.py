@@ -320,7 +320,7 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 10 == 1, F.concat(F.lit("R"), (100 + F.floor(n / 10)).cast("string"), F.lit(" General")))
         .when(n % 10 == 4, F.concat(F.lit("R"), (100 + F.floor(n / 10)).cast("string"), F.lit(".1 Scope")))
         .when(n % 10 == 7, F.concat(F.lit("SECTION R"), (100 + F.floor(n / 10)).cast("string")))
-        .otherwise(F.concat(F.lit("body "), F.col("lang")))
+        .otherwise(F.concat(F.lit("body "), F.coalesce("lang", F.lit(""))))
     )
     return docs.select(F.floor(F.col("doc_id") / 1000).cast("string").alias("doc"), F.floor(n / 40).cast("int").alias("page"), n.cast("int").alias("line_no"), text.alias("text"))
 
@@ -330,15 +330,21 @@ def section_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table on each page; every third goes on from the page before."""
+    """A table on each page, a document of a hundred pages; two of three tables are one that goes on.
+
+    In every second to fourth of five documents a rule is broken (another rotation, open at the end, other columns), in
+    every fifth the first table simply ends.
+    """
     docs = D.table(spark, sf_dir, "documents")
-    n = F.col("doc_id") % 100
+    n, kind = F.col("doc_id") % 100, F.floor(F.col("doc_id") / 100) % 5
     rows = docs.select(
-        F.floor(F.col("doc_id") / 100).cast("string").alias("doc"), n.cast("int").alias("page"), F.lit(0).alias("idx"), F.concat(F.lit("T"), F.floor(n / 3).cast("string"), F.when(n % 3 == 2, F.lit("b")).otherwise(F.lit(""))).alias("table_id"),
-        F.array(F.lit("a"), F.lit("b")).alias("columns"), F.array(F.array(F.col("doc_id").cast("string"), F.col("lang"))).alias("rows"), ((n % 3 == 0) & (n < 99)).alias("touches_bottom"), F.lit(0).alias("rotation"), (n % 2 == 0).alias("continued"),
+        F.floor(F.col("doc_id") / 100).cast("string").alias("doc"), n.cast("int").alias("page"), F.lit(0).alias("idx"),
+        F.when((kind == 4) & (n == 1), F.lit("T0c")).otherwise(F.concat(F.lit("T"), F.floor(n / 3).cast("string"), F.when(n % 3 == 2, F.lit("b")).otherwise(F.lit("")))).alias("table_id"),
+        F.array(F.lit("a"), F.when((kind == 3) & (n == 1), F.lit("c")).otherwise(F.lit("b"))).alias("columns"), F.array(F.array(F.col("doc_id").cast("string"), F.col("lang"))).alias("rows"), ((n % 3 == 0) & ((n < 99) | (kind == 2))).alias("touches_bottom"),
+        F.when((kind == 1) & (n == 1), 90).otherwise(0).alias("rotation"), (n % 2 == 0).alias("continued"),
     )
     done = page_sections.continue_tables(rows)
-    return done.select("doc", "table_id", "start_page", "end_page", F.size("rows").alias("n_rows"), "error")
+    return done.select("doc", "table_id", "start_page", "end_page", F.coalesce(F.size("rows"), F.lit(-1)).alias("n_rows"), "error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
