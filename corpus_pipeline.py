@@ -43,7 +43,8 @@ def remove_repeated_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by Jaccard similarity 0.8 or more of five-word shingles one document stays, the smallest by (doc_id, text's hash).
 
-    Rows are told apart by doc_id and text, so different texts of one doc_id, or of none, are documents of their own. Rows
+    SimHash fingerprints with pivot tables propose the pairs, and the sets of shingles verify them (near_copies). Rows are
+    told apart by doc_id and text, so different texts of one doc_id, or of none, are documents of their own. Rows
     that repeat both are one document, of which the row with the smallest other columns stays.
     """
     keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
